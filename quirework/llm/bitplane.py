@@ -155,18 +155,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 
     def run(batches):
         enc = bytebpe.encoder(tokenizer)
-        kind = _id_type(enc)
+        end = b"" if end_id is None else enc.raw([end_id])
         for b in batches:
-            rows = [np.array(x if end_id is None else [*x, end_id], kind).tobytes() for x in enc.encode_all(b.column(1).to_pylist())]
+            rows = [x + end for x in enc.encode_all(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _id_type(enc: bytebpe.ByteBpe) -> str:
-    return "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, block: int = 1 << 16, kind: str = "byte", level: int = 3) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write bit-plane files in ascending doc_id (null first) to ``path``.
 
@@ -177,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json",
     """
     spark = docs.sparkSession
     src = encoded(docs, tokenizer, end_id)
-    wide = bytebpe.encoder(tokenizer).tok.get_vocab_size() > 1 << 16
+    width, kind_of_id = (lambda e: (e.width, e.kind))(bytebpe.encoder(tokenizer))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Ranges from doc_id alone: repartitionByRange would encode every text a second time for its sample.
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
@@ -198,8 +194,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json",
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if writer is None:
                     out = store.open_output_stream(tmp)
-                    writer, first = Writer(out, 4 if wide else 2, block, kind, level), d
-                writer.add(d, np.frombuffer(x.as_buffer(), "<u4" if wide else "<u2"))
+                    writer, first = Writer(out, width, block, kind, level), d
+                writer.add(d, np.frombuffer(x.as_buffer(), kind_of_id))
                 last = d
         if writer is not None:
             writer.close()

@@ -8,66 +8,70 @@ characters that Python counts as white space and the library does not, is given
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
+import numpy as np
+
 from . import common
 
 #: A run of Latin letters up to white space, ASCII punctuation or the end; any other run of non-spaces; each
 #: with one space before it; runs of white space as the library's own pattern splits them.
 CUT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-/:-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 
 
 class ByteBpe:
-    """``ids(text)`` as numpy uint32; ``limit`` bounds the table of parts."""
+    """Encodes texts to bytes of little-endian ids, ``width`` bytes each; ``limit`` bounds the table of parts."""
 
     def __init__(self, tokenizer_file: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.limit = limit
-        self.parts: dict[str, tuple[int, ...]] = {}
-        import json
-
-        pre = json.loads(self.tok.to_str())
-        plain = pre["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.cuts = plain and pre["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] for t in pre["added_tokens"])
+        self.parts: dict[str, bytes] = {}
+        own = json.loads(self.tok.to_str())
+        plain = own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.cuts = plain and own["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] for t in own["added_tokens"])
 
     def _whole(self, text: str) -> bool:
-        return not self.cuts or ODD.search(text) is not None or any(s in text for s in self.specials)
+        return not self.cuts or any(s in text for s in self.specials) or any(c in text for c in ODD)
+
+    def raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of every text (null: none), missing parts of all of them encoded in one call."""
-        known, split, new = self.parts, [], {}
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text (null: none); the parts that are new in any of them are encoded in one call."""
+        known, out, open_, new = self.parts, [], [], {}
         if len(known) >= self.limit:
             known.clear()
-        for t in texts:
+        get = known.get
+        for k, t in enumerate(texts):
             if not t:
-                split.append(())
+                out.append(b"")
             elif self._whole(t):
-                split.append(None)
+                out.append(self.raw(self.tok.encode(t, add_special_tokens=False).ids))
             else:
-                split.append(parts := CUT.findall(t))
-                for p in parts:
-                    if p not in known:
-                        new[p] = None
+                got = [*map(get, parts := CUT.findall(t))]
+                if None in got:
+                    open_.append((k, parts))
+                    new.update(dict.fromkeys([p for p, g in zip(parts, got, strict=True) if g is None]))
+                    out.append(None)
+                else:
+                    out.append(b"".join(got))
         if new:
             order = list(new)
             for p, e in zip(order, self.tok.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                known[p] = tuple(e.ids)
-        out = []
-        for t, parts in zip(texts, split, strict=True):
-            if parts is None:
-                out.append(self.tok.encode(t, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for p in parts:
-                    ids += known[p]
-                out.append(ids)
-        for p in new:
-            if len(p) > 64:
-                del known[p]
+                known[p] = self.raw(e.ids)
+            for k, parts in open_:
+                out[k] = b"".join(map(known.__getitem__, parts))
+            for p in order:
+                if len(p) > 64:
+                    del known[p]
         return out
 
 
@@ -76,8 +80,6 @@ _encoders: dict[tuple[str, int], ByteBpe] = {}
 
 def encoder(tokenizer: str, limit: int = 600_000) -> ByteBpe:
     """One encoder for each worker process.  ``tokenizer``: a path, or the name of a public tokenizer's file."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (tokenizer, limit)
     if key not in _encoders:
