@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitplane, pieces, topk
+from . import bitplane, pieces, simhash, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op8_simhash": simhash.op8_simhash,
     "op10_bitplane": bitplane.op10_bitplane,
 }
 
