@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bitplane, pieces, simhash, topk
+from . import bitplane, mixing, pieces, quality, simhash, topk
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op2_sentencepiece": pieces.op2_sentencepiece,
+    "op6_quality": quality.op6_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op8_simhash": simhash.op8_simhash,
     "op10_bitplane": bitplane.op10_bitplane,
 }
 
-SQL = {"op1_topk": topk.OP1_SQL}
+SQL = {"op1_topk": topk.OP1_SQL, "op6_quality": quality.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
