@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -22,21 +24,48 @@ CUT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-/:-@\[-`{-~]|\Z)| ?\S+|\s+(
 ODD = "\x1c\x1d\x1e\x1f"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The published byte alphabet of byte-level BPE: printable bytes stand for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Parts(dict):
+    """Part -> bytes of its ids, encoded when first asked for."""
+
+    def __init__(self, tok, code: str):
+        self.tok, self.model, self.code = tok, tok.model, code
+        self.letters = _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        word = part[1:] if part[0] == " " else part
+        if word.isalpha():  # one pre-token: the model alone is asked
+            ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tok.encode(part, add_special_tokens=False).ids
+        raw = array(self.code, ids).tobytes()
+        if len(part) <= 64:
+            self[part] = raw
+        return raw
+
+
 class ByteBpe:
     """Encodes texts to bytes of little-endian ids, ``width`` bytes each; ``limit`` bounds the table of parts."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 600_000):
+    def __init__(self, tokenizer_file: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        code = next(c for c in "HIL" if array(c).itemsize == self.width)
         self.limit = limit
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Parts(self.tok, code)
         own = json.loads(self.tok.to_str())
         plain = own["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        self.cuts = plain and own["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] for t in own["added_tokens"])
+        self.cuts = plain and own["normalizer"] is None and not any(t["lstrip"] or t["rstrip"] for t in own["added_tokens"]) and sys.byteorder == "little"
 
     def _whole(self, text: str) -> bool:
         return not self.cuts or any(s in text for s in self.specials) or any(c in text for c in ODD)
@@ -45,40 +74,25 @@ class ByteBpe:
         return np.array(ids, self.kind).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text (null: none); the parts that are new in any of them are encoded in one call."""
-        known, out, open_, new = self.parts, [], [], {}
-        if len(known) >= self.limit:
-            known.clear()
-        get = known.get
-        for k, t in enumerate(texts):
+        """Ids of every text (null: none)."""
+        if len(self.parts) >= self.limit:
+            self.parts.clear()
+        known = self.parts.__getitem__
+        out = []
+        for t in texts:
             if not t:
                 out.append(b"")
             elif self._whole(t):
                 out.append(self.raw(self.tok.encode(t, add_special_tokens=False).ids))
             else:
-                got = [*map(get, parts := CUT.findall(t))]
-                if None in got:
-                    open_.append((k, parts))
-                    new.update(dict.fromkeys([p for p, g in zip(parts, got, strict=True) if g is None]))
-                    out.append(None)
-                else:
-                    out.append(b"".join(got))
-        if new:
-            order = list(new)
-            for p, e in zip(order, self.tok.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                known[p] = self.raw(e.ids)
-            for k, parts in open_:
-                out[k] = b"".join(map(known.__getitem__, parts))
-            for p in order:
-                if len(p) > 64:
-                    del known[p]
+                out.append(b"".join(map(known, CUT.findall(t))))
         return out
 
 
 _encoders: dict[tuple[str, int], ByteBpe] = {}
 
 
-def encoder(tokenizer: str, limit: int = 600_000) -> ByteBpe:
+def encoder(tokenizer: str, limit: int = 1_500_000) -> ByteBpe:
     """One encoder for each worker process.  ``tokenizer``: a path, or the name of a public tokenizer's file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (tokenizer, limit)
