@@ -234,7 +234,8 @@ def links(distinct: DataFrame, tau: int = 4, sample: int = 4096, big: int = 8192
     ``sample``: how many fingerprints, by hash, the driver sees to estimate candidates.
     """
     n = distinct.count()
-    some = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    low = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, 2 * sample / max(1, n)) * (1 << 30))
+    some = distinct.where(low).select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     masks = signature_masks(plan(np.array([r.fp for r in some], np.int64).view(np.uint64), n, tau))
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for k, m in enumerate(masks)])
