@@ -296,11 +296,15 @@ def near_groups(docs: DataFrame, tau: int = 4, sample: int = 4096, big: int = 81
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the one document of each near-duplicate group that has the smallest doc_id, all columns as they were.
 
-    Of rows that share a doc_id one stays.  Rows without a doc_id stay only if no row with one is in their group.
+    Of rows that share a doc_id one stays.  Rows without a doc_id stand behind all others (ids from 2 ** 62
+    on, by text, so that equal texts count as one).
     """
-    groups = near_groups(docs, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    own = next(n for n in ("_id", "_id_", "_own_id_") if n not in docs.columns)
+    spare = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), spare))
+    groups = near_groups(keyed.select(F.col(own).alias("doc_id"), "text"), **options)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return keyed.join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
