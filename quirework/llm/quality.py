@@ -30,10 +30,12 @@ RULES: dict[str, tuple[str, float, float]] = {
     "word_length": ("abs(word_chars / n_words - 6.5)", 5.5, 3.5),
 }
 
-#: Starting rates of bad votes for bad and for good documents, their ranges, the share of bad documents.
-START_BAD, START_GOOD, START_SHARE = 0.5, 0.02, 0.1
-RANGE_BAD, RANGE_GOOD, RANGE_SHARE = (0.10, 0.95), (0.001, 0.05), (0.01, 0.5)
+#: Rates of bad votes for bad and for good documents and the share of bad documents: weight-one priors, then ranges.
+START_BAD, START_GOOD, START_SHARE = 0.25, 0.005, 0.15
+RANGE_BAD, RANGE_GOOD, RANGE_SHARE = (0.05, 0.95), (0.0005, 0.01), (0.01, 0.5)
 ROUNDS = 25
+#: First posterior of documents with a bad vote and of the others: from here no kind of bad document starts as good.
+FIRST = 0.9, 0.05
 
 
 def _let(value: str, body: str, name: str) -> str:
@@ -95,16 +97,19 @@ def vote_sql() -> list[str]:
 
 
 def fit(feats: DataFrame) -> tuple[float, list[float], list[float]]:
-    """(log odds of bad, weight of each rule's bad vote, weight of its good vote), from all rows of ``feats``."""
+    """(log odds of bad, weight of each rule's bad vote, weight of its good vote), from all rows of ``feats`` that pass the base rules.
+
+    What the base rules fail is decided; left in, its kind of badness would be what "bad" comes to mean.
+    """
     m = len(RULES)
-    pats = feats.groupBy(F.expr(f"array({', '.join(vote_sql())})").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pats = feats.where(~base_failed()).groupBy(F.expr(f"array({', '.join(vote_sql())})").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     row = pats.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("ps"))
     arr = lambda x: f"array_repeat({x}D, {m})"
     clamp = lambda x, r: f"least({r[1]}D, greatest({r[0]}D, {x}))"
     total = "aggregate(ps, 0D, (a, p) -> a + p.n)"
     each = f"sequence(0, {m - 1})"
     logit = f"ln(st.share / (1 - st.share)) + aggregate({each}, 0D, (a, j) -> a + CASE p.v[j] WHEN 2 THEN ln(st.bad[j] / st.good[j]) WHEN 1 THEN ln((1 - st.bad[j]) / (1 - st.good[j])) ELSE 0D END)"
-    post = f"transform(ps, p -> 1 / (1 + exp(-({logit}))))"
+    post = f"transform(ps, p -> if(k = 1, if(array_contains(p.v, 2), {FIRST[0]}D, {FIRST[1]}D), 1 / (1 + exp(-({logit})))))"
     rate = lambda w, start, r: "transform(" + each + ", j -> " + clamp(f"({start}D + aggregate(zip_with(ps, g, (p, q) -> if(p.v[j] = 2, p.n * ({w}), 0D)), 0D, (a, x) -> a + x)) / (1D + aggregate(zip_with(ps, g, (p, q) -> if(p.v[j] > 0, p.n * ({w}), 0D)), 0D, (a, x) -> a + x))", r) + ")"
     share = clamp(f"({START_SHARE}D + aggregate(zip_with(ps, g, (p, q) -> p.n * q), 0D, (a, x) -> a + x)) / (1D + {total})", RANGE_SHARE)
     new = f"named_struct('share', {share}, 'bad', {rate('q', START_BAD, RANGE_BAD)}, 'good', {rate('1 - q', START_GOOD, RANGE_GOOD)})"
@@ -174,12 +179,12 @@ f AS MATERIALIZED (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length
   length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ', '')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_exclaim,
   length(t) - length(translate(t, '0123456789', '')) AS n_digits
   FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM l) x LEFT JOIN k USING (r)),
-p AS MATERIALIZED (SELECT {arr} AS v, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY 1),
+p AS MATERIALIZED (SELECT {arr} AS v, CAST(count(*) AS DOUBLE) AS n FROM f WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY 1),
 em AS (
   SELECT 0 AS it, CAST({START_SHARE} AS DOUBLE) AS share, CAST([{', '.join([str(START_BAD)] * m)}] AS DOUBLE[]) AS bad, CAST([{', '.join([str(START_GOOD)] * m)}] AS DOUBLE[]) AS good
   UNION ALL
   SELECT it + 1, least({RANGE_SHARE[1]}, greatest({RANGE_SHARE[0]}, ({START_SHARE} + sum(n * q)) / (1 + sum(n)))), {rate('q', START_BAD, RANGE_BAD)}, {rate('1 - q', START_GOOD, RANGE_GOOD)}
-  FROM (SELECT it, n, v, 1 / (1 + exp(-({logit}))) AS q FROM em e, p WHERE it < {ROUNDS}) GROUP BY it)
+  FROM (SELECT it, n, v, CASE WHEN it > 0 THEN 1 / (1 + exp(-({logit}))) WHEN list_contains(p.v, 2) THEN {FIRST[0]} ELSE {FIRST[1]} END AS q FROM em e, p WHERE it < {ROUNDS}) GROUP BY it)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({logit}))) < 0.5 AS kept
