@@ -171,11 +171,12 @@ def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: f
 
     Learned from the documents that are not held out; rejected are ``und`` and scores under ``least``.
     """
-    found = identify(docs, train(docs.where("doc_id IS NOT NULL").where(~held_out())))
+    profiles = train(docs.where("doc_id IS NOT NULL").where(~held_out()))
+    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), profiles)
     good = (F.col("lang_pred") != "und") & (F.col("score") >= least)
     if languages is not None:
         good &= F.col("lang_pred").isin(languages)
-    return found.where(good).select(*[f"`{c}`" for c in docs.columns])
+    return found.where(good).select("_row.*")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

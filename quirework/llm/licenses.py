@@ -167,13 +167,19 @@ class Classifier:
         return e / e.sum()
 
     def similarity(self, ws: list[str], family: str | None = None) -> tuple[str | None, float]:
-        """(family, share of the best template's word pairs that stand in the paragraph); longer templates win ties."""
-        have = set(zip(ws, ws[1:], strict=False)) | {(w,) for w in ws}
+        """(family, share of the best template's word pairs that stand in the paragraph); longer templates win ties.
+
+        Of a paragraph that is a part of a template (a wrapped line, at least 8 words) the share is its own.
+        """
+        own = set(zip(ws, ws[1:], strict=False))
+        have = own | {(w,) for w in ws}
         best: tuple[float, int, str | None] = (0.0, 0, None)
         for f in [family] if family else self.templates:
             for t in self.templates[f]:
                 pairs = set(zip(t, t[1:], strict=False)) or {(t[0],)}
-                best = max(best, (len(pairs & have) / len(pairs), len(pairs), f), key=lambda x: x[:2])
+                both = len(pairs & have)
+                share = max(both / len(pairs), both / len(own) if len(own) >= 7 else 0.0)
+                best = max(best, (share, len(pairs), f), key=lambda x: x[:2])
         return best[2], best[0]
 
     def classify(self, paragraph: str) -> tuple[str, float, float, bool]:

@@ -31,7 +31,7 @@ def hashed(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, max_rate: float = MAX_RATE, source: str = "source", text: str = "text") -> DataFrame:
     """source, rate: mean repetitions.  Output bytes aim at ``epochs`` times the input's.
 
-    Targets: ``weights`` by source (sources it does not name get none), or by default each source's bytes to
+    Targets: ``weights`` by source (sources it does not name get none, names of absent sources do not count), or by default each source's bytes to
     the power ``temperature``, in proportion.  No rate is above ``max_rate``, so that a tiny source is not
     repeated without end; that is part of the target, not a cut of rows.
     """
@@ -63,10 +63,15 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     Null sources are a source of their own.  Null doc_ids all draw alike.  Repeated rows draw alike and are
     repeated alike.  Empty texts weigh one byte.  An empty table gives an empty one.
     """
+    carry = [c for c in (carry or docs.columns) if c not in ("copy", "shuffle_key")]
+    return _copies(docs, weights, epochs, temperature, max_rate, seed, carry).select("_row.*", "copy", "shuffle_key")
+
+
+def _copies(docs: DataFrame, weights, epochs: float, temperature: float, max_rate: float, seed: str, carry: list[str]) -> DataFrame:
+    """_row struct of ``carry``, copy, shuffle_key: the columns of ``docs`` cannot clash with what is added."""
     table = common.saved(rates(docs, weights, epochs, temperature, max_rate), "rates")
     most = math.ceil(max_rate + 12 * math.sqrt(max_rate) + 30)
     cdf = table.select(F.col("source").alias("_source"), distribution(F.col("rate"), most).alias("_cdf"))
-    carry = [c for c in (carry or docs.columns) if c not in ("copy", "shuffle_key")]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
     if table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         met = src.join(F.broadcast(cdf), F.col("_of").eqNullSafe(F.col("_source")))
@@ -76,7 +81,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     u = hashed(F.lit(seed), F.col("_id")) / F.lit(float(1 << 52))
     drawn = met.withColumn("_u", u).withColumn("_n", F.expr("size(filter(_cdf, c -> _u >= c))")).where("_n > 0")
     copies = drawn.select("_row", "_id", F.explode(F.expr("sequence(1, _n)")).alias("copy"))
-    return copies.select("_row.*", "copy", hashed(F.lit(f"{seed}-order"), F.col("_id"), F.col("copy")).alias("shuffle_key"))
+    return copies.select("_row", "copy", hashed(F.lit(f"{seed}-order"), F.col("_id"), F.col("copy")).alias("shuffle_key"))
 
 
 def shuffled(copies: DataFrame) -> DataFrame:
@@ -86,9 +91,9 @@ def shuffled(copies: DataFrame) -> DataFrame:
     return copies.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "copy")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The mixed corpus: ``docs``' own columns, one row a copy, in shuffled order."""
-    return shuffled(replicate(docs, **options)).drop("copy", "shuffle_key")
+    return shuffled(_copies(docs, weights, epochs, temperature, max_rate, seed, docs.columns)).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
