@@ -469,3 +469,28 @@ def clearance(spark, d):
     judged = lab.where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("mark_no"), F.lit(1).alias("exact"))
     docs = src.table(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("evidence"), (F.col("n_chars") > 20000).alias("restricted"))
     return lay.clearance(docs, found, judged, "doc_id")
+
+
+# -- sequential text logic: no SQL form; tests/test_language.py holds it against fixtures
+
+@query()
+def query_phrases(spark, d):
+    from ..operators import language
+
+    return src.table(spark, d, "benchmark").select("item_id", language.query_phrases("text").alias("phrases"))
+
+
+@query()
+def presuppositions(spark, d):
+    from ..operators import language
+
+    return src.table(spark, d, "conversations").select("conv_id", "turn", F.explode(language.presuppositions("text")).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@query()
+def stemmed_vocabulary(spark, d):
+    from ..operators import language
+
+    terms = src.table(spark, d, "documents").select(F.explode(tx.tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    one = terms.select(language.stems(F.array("term"))[0].alias("stem"), "n")
+    return one.groupBy("stem").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))

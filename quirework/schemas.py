@@ -3,15 +3,16 @@
 from pyspark.sql import types as T
 
 
-def _of(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def schema(ddl: str) -> T.StructType:
+    """The StructType of one of the declarations below (needs a session)."""
+    return T.StructType.fromDDL(ddl)
 
 
-CHUNKS = _of("id bigint, pub_id string, pub_title string, edition string, chapter int, chapter_title string, section string, section_conf double, para_id string, page_printed string, page_pdf_start int, page_pdf_end int, spans_pages boolean, citation string, text string, n_chars int")
-ATTEMPTS = _of("id bigint, seq bigint, wall_utc string, learner string, item_id string, chapter int, section string, confidence int, verdict string, score double, answer string, covered array<string>, missed array<string>, latency_s double")
-INTERACTIONS = _of("id bigint, seq bigint, wall_utc string, clock_trusted boolean, actor string, question string, answered boolean, abstain_reason string, top_score double, latency_s double, answer_text string, citations_json string, sources_json string")
-REVIEWS = _of("item_id string, status string, reviewer string, reviewed_utc string, edited_question string, edited_points array<string>, note string, flags array<struct<code:string,detail:string>>")
-ITEMS = _of("id string, pub_id string, pub_title string, chapter int, chapter_title string, section string, question string, key_points array<string>, source_chunk_id bigint, source_text string, citation string, page_printed string")
-TUNING = _of("id string, kind string, category string, correct_behavior string, latency_s double, top_score double, top_pub_id string, min_support double, n_claims int, model_declined boolean, answered boolean, text_head string, has_citation boolean, error string")
-LINES = _of("doc string, page int, line_no int, text string, x double, x1 double, y double, size double, bold boolean, font string")
-OUTLINE = _of("doc string, page int, level int, title string")
+CHUNKS = "id bigint, pub_id string, pub_title string, edition string, chapter int, chapter_title string, section string, section_conf double, para_id string, page_printed string, page_pdf_start int, page_pdf_end int, spans_pages boolean, citation string, text string, n_chars int"
+ATTEMPTS = "id bigint, seq bigint, wall_utc string, learner string, item_id string, chapter int, section string, confidence int, verdict string, score double, answer string, covered array<string>, missed array<string>, latency_s double"
+INTERACTIONS = "id bigint, seq bigint, wall_utc string, clock_trusted boolean, actor string, question string, answered boolean, abstain_reason string, top_score double, latency_s double, answer_text string, citations_json string, sources_json string"
+REVIEWS = "item_id string, status string, reviewer string, reviewed_utc string, edited_question string, edited_points array<string>, note string, flags array<struct<code:string,detail:string>>"
+ITEMS = "id string, pub_id string, pub_title string, chapter int, chapter_title string, section string, question string, key_points array<string>, source_chunk_id bigint, source_text string, citation string, page_printed string"
+TUNING = "id string, kind string, category string, correct_behavior string, latency_s double, top_score double, top_pub_id string, min_support double, n_claims int, model_declined boolean, answered boolean, text_head string, has_citation boolean, error string"
+LINES = "doc string, page int, line_no int, text string, x double, x1 double, y double, size double, bold boolean, font string"
+OUTLINE = "doc string, page int, level int, title string"

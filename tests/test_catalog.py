@@ -7,6 +7,6 @@ from quirework.plans import catalog
 from .conftest import SF
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_matches_sql(spark, duck, same, name):
     same(catalog.QUERIES[name](spark, SF), duck.sql(catalog.SQL[name]))
