@@ -184,18 +184,22 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), (
 def _bucket_runner(keys: int, tau: int, big: int | None):
     """mapInArrow function over rows sorted by their first ``keys`` columns; the fingerprint is the last column.
 
-    Gives links (a, b), or, of buckets above ``big``, their members (a = b = fingerprint, kind, value).
+    Gives links (a, b), or, of buckets above ``big``, their members (a = b = fingerprint, kind, value), passed
+    on as they come, so that a task holds no more of a bucket than ``big`` and one batch.
     """
 
     def run(batches):
         from_rows = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINKS, strict=True)], schema=LINKS)
-        held: list[np.ndarray] = []  # members of the bucket that is still open
-        held_key, rows = None, []
+        held: list[np.ndarray] = []  # members of the bucket that is still open, at most ``big``
+        held_key, n_held, spilling, rows = None, 0, False, []
+
+        def members(x):
+            return [(v, v, held_key[0], held_key[1]) for v in x.view(np.int64).tolist()]
 
         def close():
+            if n_held < 2:
+                return []
             x = np.concatenate(held) if len(held) > 1 else held[0]
-            if big is not None and len(x) > big:
-                return [(int(v), int(v), held_key[0], held_key[1]) for v in x.view(np.int64)]
             s = x.view(np.int64)
             return [(int(s[i]), int(s[j]), None, None) for i, j in forest(x, tau)]
 
@@ -211,17 +215,22 @@ def _bucket_runner(keys: int, tau: int, big: int | None):
             edges = [0, *np.flatnonzero(change).tolist(), n]
             for a, z in zip(edges, edges[1:], strict=False):
                 key = tuple(c[a].item() for c in cols)
-                if held and key == held_key:
-                    held.append(fp[a:z])
-                else:
-                    if held and (len(held) > 1 or len(held[0]) > 1):
-                        rows += close()
-                    held, held_key = [fp[a:z]], key
+                if key != held_key:
+                    rows += close()
+                    held, held_key, n_held, spilling = [], key, 0, False
+                if spilling:
+                    rows += members(fp[a:z])
+                    continue
+                held.append(fp[a:z])
+                n_held += z - a
+                if big is not None and n_held > big:
+                    for x in held:
+                        rows += members(x)
+                    held, n_held, spilling = [], 0, True
             while len(rows) >= 10_000:
                 yield from_rows(rows[:10_000])
                 rows = rows[10_000:]
-        if held and (len(held) > 1 or len(held[0]) > 1):
-            rows += close()
+        rows += close()
         for a in range(0, len(rows), 10_000):
             yield from_rows(rows[a : a + 10_000])
 
