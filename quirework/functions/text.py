@@ -56,6 +56,18 @@ def ocr_letters(x) -> Column:
     return collapse(F.translate(c(x), "0158", "OISB"))
 
 
+def font_family(x) -> Column:
+    """Lower-case family of a font name: no subset prefix, nothing from the first hyphen or comma on."""
+    return F.lower(F.regexp_extract(c(x), r"^(?:[^+]*\+)?([^-,]*)", 1))
+
+
+def item_json(x) -> Column:
+    """struct<question, key_points> from noisy model text, or null: a question of 15 characters and up to three non-empty points."""
+    raw = F.from_json(F.regexp_extract(c(x), r"(?s)\{.*\}", 0), "question string, key_points array<string>")
+    made = F.struct(F.trim(raw["question"]).alias("question"), F.slice(F.filter(F.transform(raw["key_points"], lambda k: F.trim(k)), lambda k: k != ""), 1, 3).alias("key_points"))
+    return F.when((F.length(made["question"]) >= 15) & (F.size(made["key_points"]) > 0), made)
+
+
 def compact(x) -> Column:
     return F.regexp_replace(F.lower(c(x)), "[^a-z0-9]", "")
 

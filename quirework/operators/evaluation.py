@@ -84,3 +84,18 @@ def rescue_curve(records: DataFrame) -> DataFrame:
     per = records.groupBy("value").agg(F.count_if(F.col("kind") == "in").alias("i"), F.count_if(F.col("kind") == "out").alias("o"))
     w = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
     return per.select("value", F.sum("i").over(w).alias("fixed"), F.sum("o").over(w).alias("broken"))
+
+
+def answer_metrics(rows: DataFrame) -> DataFrame:
+    """One row of counts over answered questions: kind (in, out), expects_answer, abstained, cited_relevant (null: not scored), has_citation.
+
+    over_refusal of in; false_answer of out that expects none; traps_kept of out that expects an answer.
+    """
+    inside, answered = F.col("kind") == "in", ~F.col("abstained")
+    expects = F.coalesce("expects_answer", F.lit(False))
+    n = lambda c, name: F.count_if(c).alias(name)
+    return rows.agg(
+        n(inside, "n_in"), n(inside & ~answered, "over_refusal"), n(~inside & ~expects, "n_out"), n(~inside & ~expects & answered, "false_answer"),
+        n(~inside & expects, "n_traps"), n(~inside & expects & answered, "traps_kept"), n(inside & answered & F.col("cited_relevant").isNotNull(), "cite_scored"),
+        n(inside & answered & F.col("cited_relevant"), "cite_correct"), n(inside & answered & F.col("has_citation"), "with_citation"),
+    )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: Screening marks (pattern, name).
 MARKS = [
     (r"\bCUI\b", "CUI marking"),
@@ -79,3 +81,32 @@ def clearance(docs: DataFrame, findings: DataFrame, adjudicated: DataFrame, key:
     open_ = findings.where("exact > 0").join(adjudicated, [key, "mark_no", "exact"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("blocked_by"))
     b = F.coalesce("blocked_by", F.lit(0))
     return docs.select(key, "evidence", "restricted").join(open_, key, "left").select(key, (F.col("evidence") & ~F.col("restricted") & (b == 0)).alias("cleared"), b.alias("blocked_by"))
+
+
+def heading(text: Column, size: Column, bold: Column, font: Column, body_size: Column, body_font: Column) -> Column:
+    """Whether a line is a heading: short, no closing mark, three letters, and set apart by weight, font or capitals."""
+    t = F.trim(text)
+    letters = F.regexp_replace(tx.ocr_letters(t), r"[^\p{L}]", "")
+    n = F.length(letters)
+    capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.greatest(n, F.lit(1)) >= 0.75
+    shape = F.length(t).between(3, 90) & ~t.rlike("[.,;:]$") & (n >= 3)
+    larger = bold & (size >= 1.15 * body_size)
+    other = bold & (tx.font_family(font) != tx.font_family(body_font)) & (size >= body_size)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return yes(shape & (yes(larger) | yes(other) | (~yes(size < 0.95 * body_size) & capitals)))
+
+
+def reading_order(lines: DataFrame, width: float, least_share: float = 0.2, gutter: float = 0.06, most_straddling: float = 0.15) -> DataFrame:
+    """``lines`` (doc, page, line_no, text, x, x1, y) + two_columns, position: left column first where a page has two.
+
+    Two columns: at least 8 lines over 20 characters, each half with its share of them, few across the gutter.
+    """
+    mid, band = width / 2, width * gutter / 2
+    page = Window.partitionBy("doc", "page")
+    told = F.length("text") > 20
+    count = lambda c: F.count_if(told & c).over(page)
+    n, left = count(F.lit(True)), count(F.col("x") < mid)
+    across = count((F.col("x") < mid - band) & (F.col("x1") > mid + band))
+    two = (n >= 8) & (F.least(left, n - left) / F.greatest(n, F.lit(1)) >= least_share) & (across <= most_straddling * n)
+    side = F.when(F.col("two_columns"), (F.col("x") >= mid).cast("int")).otherwise(0)
+    return lines.withColumn("two_columns", two).withColumn("position", F.row_number().over(page.orderBy(side, "y", "x", "line_no")))

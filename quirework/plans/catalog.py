@@ -10,10 +10,12 @@ from ..functions import maths
 from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import gates
+from ..operators import grounding as gr
 from ..operators import layout as lay
 from ..operators import learning as lr
 from ..operators import records as rec
 from ..operators import retrieval as rt
+from ..operators import verification as vf
 from ..sources import tables as src
 from . import tables as tb
 
@@ -471,6 +473,104 @@ def clearance(spark, d):
     return lay.clearance(docs, found, judged, "doc_id")
 
 
+_LINES = """ln AS (SELECT page_id AS doc, 0 AS page, block_no AS line_no, tag, text, CASE WHEN block_no % 2 = 0 THEN 50.0 ELSE 320.0 END::DOUBLE AS x,
+  CASE WHEN block_no % 9 = 0 THEN 500.0 WHEN block_no % 2 = 0 THEN 250.0 ELSE 520.0 END::DOUBLE AS x1, CAST(block_no // 2 * 12 AS INTEGER) AS y, CAST(10 + block_no % 3 AS DOUBLE) AS size,
+  tag LIKE 'h%' OR tag = 'li' AS bold, CASE WHEN block_no % 4 = 0 THEN 'ABCDEF+Arial-BoldMT' ELSE 'TimesNewRoman' END AS font FROM blocks)"""
+
+
+def _lines(spark, d) -> DataFrame:
+    b = tb.blocks(spark, d)
+    even = F.col("block_no") % 2 == 0
+    return b.select(
+        F.col("page_id").alias("doc"), F.lit(0).alias("page"), F.col("block_no").alias("line_no"), "tag", "text", F.when(even, 50.0).otherwise(320.0).alias("x"),
+        F.when(F.col("block_no") % 9 == 0, 500.0).when(even, 250.0).otherwise(520.0).alias("x1"), (F.expr("block_no div 2") * 12).cast("int").alias("y"), (10 + F.col("block_no") % 3).cast("double").alias("size"),
+        (F.col("tag").startswith("h") | (F.col("tag") == "li")).alias("bold"), F.when(F.col("block_no") % 4 == 0, "ABCDEF+Arial-BoldMT").otherwise("TimesNewRoman").alias("font"),
+    )
+
+
+@query(_with(tb.BLOCKS, _LINES, r"""t AS (SELECT *, trim(text) AS t, regexp_replace(translate(text, '0158', 'OISB'), '[^\p{L}]', '', 'g') AS l FROM ln),
+f AS (SELECT *, length(l) AS n, length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) / greatest(length(l), 1) >= 0.75 AS caps FROM t)""") + """SELECT doc, line_no, text FROM f WHERE length(t) BETWEEN 3 AND 90 AND NOT regexp_matches(t, '[.,;:]$') AND n >= 3
+AND ((bold AND size >= 1.15 * 10.0) OR (bold AND font <> 'TimesNewRoman' AND size >= 10.0) OR (NOT size < 9.5 AND caps))""")
+def heading_lines(spark, d):
+    is_heading = lay.heading(F.col("text"), F.col("size"), F.col("bold"), F.col("font"), F.lit(10.0), F.lit("TimesNewRoman"))
+    return _lines(spark, d).where(is_heading).select("doc", "line_no", "text")
+
+
+@query(_with(tb.BLOCKS, _LINES, """k AS (SELECT *, count(*) FILTER (WHERE length(text) > 20) OVER w AS n, count(*) FILTER (WHERE length(text) > 20 AND x < 300) OVER w AS l,
+count(*) FILTER (WHERE length(text) > 20 AND x < 282 AND x1 > 318) OVER w AS a FROM ln WINDOW w AS (PARTITION BY doc, page)),
+t AS (SELECT *, n >= 8 AND least(l, n - l) / greatest(n, 1) >= 0.2 AND a <= 0.15 * n AS two_columns FROM k)""") + """SELECT doc, page, line_no, two_columns,
+CAST(row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN two_columns AND x >= 300 THEN 1 ELSE 0 END, y, x, line_no) AS INTEGER) AS position FROM t""")
+def reading_order(spark, d):
+    return lay.reading_order(_lines(spark, d), 600.0).select("doc", "page", "line_no", "two_columns", "position")
+
+
+_CHECKED = r"""pg AS (SELECT doc, page, label, own || coalesce(lead(own) OVER (PARTITION BY doc ORDER BY page), '') AS stream FROM (SELECT chapter AS doc, pos AS page, pos // 2 AS label, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS own FROM chunks)),
+wd AS (SELECT id, chapter AS doc, pos // 2 + CASE WHEN id % 7 = 0 THEN 3 ELSE 0 END AS label, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM chunks),
+pr AS (SELECT id, doc, label, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 12 THEN [array_to_string(w, ' ')]
+  ELSE list_transform([0, 1, 2], lambda i: array_to_string(w[least(len(w) - 6, 2 + i * greatest(1, (len(w) - 6) // 3)) + 1:least(len(w) - 6, 2 + i * greatest(1, (len(w) - 6) // 3)) + 6], '')) END AS p FROM wd),
+ht AS (SELECT id, len(p) AS n, page, CASE WHEN page IS NOT NULL THEN len(list_filter(p, lambda x: contains(stream, x))) END AS hits FROM pr LEFT JOIN pg USING (doc, label)),
+checked AS (SELECT id, CAST(max(n) AS INTEGER) AS n_probes, CAST(coalesce(max(hits), 0) AS INTEGER) AS hits, CAST(min(page) FILTER (WHERE hits = top) AS INTEGER) AS page,
+  CASE WHEN max(hits) IS NULL THEN 'NO_PAGE' WHEN max(hits) = max(n) THEN 'PASS' WHEN max(hits) > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM (SELECT *, max(hits) OVER (PARTITION BY id) AS top FROM ht) GROUP BY id)"""
+
+
+def _checked(spark, d) -> DataFrame:
+    c = tb.chunks(spark, d)
+    label = F.expr("pos div 2")
+    pages = c.select(F.col("chapter").alias("doc"), F.col("pos").alias("page"), label.alias("label"), "text")
+    return vf.check(c.select("id", F.col("chapter").alias("doc"), (label + F.when(F.col("id") % 7 == 0, 3).otherwise(0)).alias("label"), "text"), pages)
+
+
+@query(_with(tb.CHUNKS, _CHECKED) + "SELECT * FROM checked")
+def citation_check(spark, d):
+    return _checked(spark, d)
+
+
+@query(_with(tb.CHUNKS, _CHECKED) + "SELECT verdict, count(*) AS n, round_even(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 1) AS pct FROM checked GROUP BY 1")
+def citation_tally(spark, d):
+    return vf.tally(_checked(spark, d))
+
+
+_SUPPORT = """s AS (SELECT vec_id // 10 AS query_id, vec_id % 10 AS sent_no, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 < 6),
+k AS (SELECT vec_id // 10 AS query_id, vec_id % 10 AS chunk_no, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 >= 6),
+sup AS (SELECT query_id, sent_no, coalesce(round_even(sim, 4), 0.0) AS support, chunk_no AS best FROM (SELECT query_id, sent_no, chunk_no, sim, row_number() OVER (PARTITION BY query_id, sent_no ORDER BY sim DESC, chunk_no) AS r
+  FROM (SELECT query_id, sent_no, chunk_no, CASE WHEN chunk_no IS NOT NULL THEN list_cosine_similarity(s.v, k.v) END AS sim FROM s LEFT JOIN k USING (query_id))) WHERE r = 1)"""
+
+
+def _supports(spark, d) -> DataFrame:
+    """Vectors in tens: the first six of ten are sentences of an answer, the others its chunks; every row has a part."""
+    e = src.table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("query_id"), (F.col("vec_id") % 10).alias("no"), F.col("embedding").alias("vec"))
+    return gr.supports(e.where("no < 6").withColumnRenamed("no", "sent_no"), e.where("no >= 6").withColumnRenamed("no", "chunk_no"))
+
+
+@query(_with(_SUPPORT) + "SELECT * FROM sup")
+def sentence_support(spark, d):
+    return _supports(spark, d)
+
+
+@query(_with(_SUPPORT) + """SELECT query_id, count(*) AS n, count(*) FILTER (WHERE support < 0.5) AS unsupported, min(support) AS min_support,
+CASE WHEN count(*) FILTER (WHERE support < 0.5) = count(*) THEN 'ungrounded_answer' WHEN count(*) FILTER (WHERE support < 0.5) > 0 THEN 'mark' END AS action FROM sup GROUP BY 1""")
+def grounding_actions(spark, d):
+    return gr.actions(_supports(spark, d), 0.5)
+
+
+@query(_with(tb.RECORDS) + """SELECT count(*) FILTER (WHERE kind = 'in') AS n_in, count(*) FILTER (WHERE kind = 'in' AND a) AS over_refusal, count(*) FILTER (WHERE kind = 'out' AND NOT e) AS n_out,
+count(*) FILTER (WHERE kind = 'out' AND NOT e AND NOT a) AS false_answer, count(*) FILTER (WHERE kind = 'out' AND e) AS n_traps, count(*) FILTER (WHERE kind = 'out' AND e AND NOT a) AS traps_kept,
+count(*) FILTER (WHERE kind = 'in' AND NOT a AND id % 5 <> 0) AS cite_scored, count(*) FILTER (WHERE kind = 'in' AND NOT a AND id % 5 <> 0 AND id % 3 = 0) AS cite_correct,
+count(*) FILTER (WHERE kind = 'in' AND NOT a AND n_claims > 0) AS with_citation FROM (SELECT *, declined OR coalesce(top_score < 0, true) AS a, id % 4 = 0 AS e FROM records WHERE error IS NULL)""")
+def answer_metrics(spark, d):
+    r = tb.records(spark, d).where("error IS NULL")
+    return ev.answer_metrics(r.select("kind", (F.col("id") % 4 == 0).alias("expects_answer"), (F.col("declined") | F.coalesce(F.col("top_score") < 0, F.lit(True))).alias("abstained"), F.when(F.col("id") % 5 != 0, F.col("id") % 3 == 0).alias("cited_relevant"), (F.col("n_claims") > 0).alias("has_citation")))
+
+
+@query(r"""WITH r AS (SELECT conv_id, turn, 'Sure: {"question": " ' || regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') || '", "key_points": [" a ", "", "b", "c", "d"]} done' AS raw FROM conversations),
+j AS (SELECT conv_id, turn, trim(json_extract_string(regexp_extract(raw, '(?s)\{.*\}'), '$.question')) AS question FROM r)
+SELECT conv_id, turn, question, ['a', 'b', 'c'] AS key_points FROM j WHERE length(question) >= 15""")
+def item_parse(spark, d):
+    raw = F.concat(F.lit('Sure: {"question": " '), F.regexp_replace("text", "[^A-Za-z0-9]+", " "), F.lit('", "key_points": [" a ", "", "b", "c", "d"]} done'))
+    got = src.table(spark, d, "conversations").select("conv_id", "turn", tx.item_json(raw).alias("i"))
+    return got.where("i IS NOT NULL").select("conv_id", "turn", "i.question", "i.key_points")
+
+
 # -- sequential text logic: no SQL form; tests/test_language.py holds it against fixtures
 
 @query()
@@ -494,3 +594,15 @@ def stemmed_vocabulary(spark, d):
     terms = src.table(spark, d, "documents").select(F.explode(tx.tokens("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     one = terms.select(language.stems(F.array("term"))[0].alias("stem"), "n")
     return one.groupBy("stem").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
+
+
+@query()
+def answer_specifics(spark, d):
+    """Each turn of a conversation against the turn before it, which is both its question and its only source."""
+    from pyspark.sql import Window
+
+    from ..operators import specifics
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = src.table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before"))
+    return t.select("conv_id", "turn", specifics.specifics_verdict("text", "before", F.array("before")).alias("v")).select("conv_id", "turn", F.size("v.unsupported").alias("unsupported"), "v.refuse", "v.reason")

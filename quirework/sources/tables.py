@@ -61,3 +61,10 @@ def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> D
     rows = pages.select(key, clean.alias("_c")).select(key, F.posexplode(found).alias("block_no", "_b"))
     text = F.trim(F.regexp_replace(F.regexp_replace("_b", r"(?s)<[^>]*>", " "), r"\s+", " "))
     return rows.select(key, "block_no", F.lower(F.regexp_extract("_b", r"^<(\w+)", 1)).alias("tag"), text.alias("text"))
+
+
+def markdown_table(rows: list[dict], columns: list[str], missing: str = "\u2014") -> str:
+    """A report's rows as a Markdown table; values that are missing or null are a dash.  Driver-side: reports are small."""
+    shown = lambda v: missing if v is None or v == "" else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [columns, ["---"] * len(columns), *[[shown(r.get(c)) for c in columns] for r in rows]]
+    return "\n".join("| " + " | ".join(cells) + " |" for cells in lines)
