@@ -147,3 +147,10 @@ def windows(text, size: int = 1000, step: int = 800, single: int = 1150) -> Colu
     starts = F.when(F.length(t) <= single, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), last, F.lit(step).cast("bigint")))
     width = F.when(F.length(t) <= single, F.lit(single)).otherwise(F.lit(size))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), t.substr((s + 1).cast("int"), width).alias("text")))
+
+
+def source_sentences(x) -> Column:
+    """Pieces after . ! ? and white space that are longer than 25 characters; the whole text if there is none."""
+    t = F.coalesce(c(x), F.lit(""))
+    parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 25)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(t))

@@ -99,3 +99,39 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
         n(~inside & expects, "n_traps"), n(~inside & expects & answered, "traps_kept"), n(inside & answered & F.col("cited_relevant").isNotNull(), "cite_scored"),
         n(inside & answered & F.col("cited_relevant"), "cite_correct"), n(inside & answered & F.col("has_citation"), "with_citation"),
     )
+
+
+def best_point(swept: DataFrame) -> DataFrame:
+    """The pair of thresholds with the least sum of both rates, then fewest wrong answers, then first in the grid."""
+    total = F.round(F.col("over_refusal") + F.col("false_answer"), 6)
+    return swept.withColumn("total", total).orderBy("total", "answered", "g1", "g2").limit(1)
+
+
+def signal_ranges(rows: DataFrame) -> DataFrame:
+    """Least, middle and highest value by kind."""
+    return rows.where("value IS NOT NULL").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 6).alias("lo"), F.round(F.median("value"), 6).alias("mid"), F.round(F.max("value"), 6).alias("hi"))
+
+
+def best_threshold(rows: DataFrame, lo: float = -8.0, hi: float = 8.0, step: float = 0.5) -> DataFrame:
+    """threshold, false_answers, over_refusals: the least sum of both shares over lo, lo + step .. hi (ties: the lowest).
+
+    Rows are counted by the last threshold that they reach, so the grid is judged on a few dozen counts.
+    """
+    reach = F.greatest(F.lit(lo - step), F.least(F.lit(hi), F.floor(F.col("value") / step) * step))
+    per = rows.where("value IS NOT NULL").groupBy(reach.alias("r")).agg(F.count_if(F.col("kind") == "in").alias("i"), F.count_if(F.col("kind") == "out").alias("o"))
+    packed = per.agg(F.collect_list(F.struct("r", "i", "o")).alias("c"), F.sum("i").alias("n_in"), F.sum("o").alias("n_out")).where("n_in > 0 AND n_out > 0")
+    steps = round((hi - lo) / step)
+    grid = packed.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.lit(lo) + k * F.lit(step))).alias("threshold"))
+    above = lambda f: F.aggregate(F.filter("c", lambda x: x["r"] >= F.col("threshold")), F.lit(0).cast("long"), lambda a, x: a + x[f])
+    judged = grid.select("threshold", above("o").alias("false_answers"), (F.col("n_in") - above("i")).alias("over_refusals"), "n_in", "n_out")
+    return judged.orderBy(F.round(F.col("false_answers") / F.col("n_out") + F.col("over_refusals") / F.col("n_in"), 9), "threshold").limit(1).drop("n_in", "n_out")
+
+
+def label_match(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hits`` (query_id, pub_id, section, …) + relevant (publication and section, by letters alone) + cited_relevant (publication; null without labels)."""
+    key = F.lower(F.trim("section"))
+    both = labels.select("query_id", "pub_id", key.alias("_s"), F.lit(True).alias("_both")).distinct()
+    pubs = labels.select("query_id", "pub_id", F.lit(True).alias("_pub")).distinct()
+    known = labels.select("query_id", F.lit(True).alias("_known")).distinct()
+    met = hits.withColumn("_s", key).join(both, ["query_id", "pub_id", "_s"], "left").join(pubs, ["query_id", "pub_id"], "left").join(known, "query_id", "left")
+    return met.select(*hits.columns, F.coalesce("_both", F.lit(False)).alias("relevant"), F.when(F.col("_known"), F.coalesce("_pub", F.lit(False))).alias("cited_relevant"))

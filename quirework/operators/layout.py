@@ -110,3 +110,72 @@ def reading_order(lines: DataFrame, width: float, least_share: float = 0.2, gutt
     two = (n >= 8) & (F.least(left, n - left) / F.greatest(n, F.lit(1)) >= least_share) & (across <= most_straddling * n)
     side = F.when(F.col("two_columns"), (F.col("x") >= mid).cast("int")).otherwise(0)
     return lines.withColumn("two_columns", two).withColumn("position", F.row_number().over(page.orderBy(side, "y", "x", "line_no")))
+
+
+# Whole lines that are page numbers, headings that say nothing.
+PAGE_NUMBER = r"^(?:[A-Z]{1,2}-\d{1,3}|\d{1,2}-\d{1,3}|\d{1,4})$"
+DATE_LIKE = r"(?U)^[\dOoIl]{1,2}\s+\w{3,9}\s+[\dOoIl]{4}$"
+EMPTY_HEADINGS = ["and", "or", "note", "notes", "continued"]
+
+
+def page_numbers(lines: DataFrame) -> DataFrame:
+    """doc, page, label, n_body: the first line that is a page number, and how many lines are none."""
+    number = F.coalesce(F.trim("text").rlike(PAGE_NUMBER), F.lit(False))
+    first = F.min(F.when(number, F.struct("line_no", F.trim("text").alias("label"))))
+    return lines.groupBy("doc", "page").agg(first.alias("_f"), F.count_if(~number).alias("n_body")).select("doc", "page", F.col("_f.label").alias("label"), "n_body")
+
+
+def page_statistics(lines: DataFrame, least_share: float = 0.6) -> DataFrame:
+    """doc, page, leading, body_size, body_font, margin of the lines (doc, page, line_no, x, y, size, font).
+
+    leading: median of the gaps between 0 and 60, 12 without any.  body_font: the commonest, if it is one of
+    several and has its share.  margin: the commonest whole x.  Ties go to the line that comes first.  One
+    exchange by page serves all of it.
+    """
+    page = Window.partitionBy("doc", "page")
+    named = lines.withColumn("font", F.nullif("font", F.lit(""))).withColumn("_x", F.bround("x"))
+    common = lambda c: F.struct(F.count(c).over(Window.partitionBy("doc", "page", c)).alias("n"), (-F.min("line_no").over(Window.partitionBy("doc", "page", c))).alias("first"), F.col(c).alias("value"))
+    gap = F.col("y") - F.lag("y").over(page.orderBy("line_no"))
+    marked = named.withColumn("_gap", gap).withColumn("_font", common("font")).withColumn("_margin", common("_x"))
+    g = marked.groupBy("doc", "page").agg(
+        F.median(F.when((F.col("_gap") > 0) & (F.col("_gap") < 60), F.col("_gap"))).alias("leading"), F.median("size").alias("body_size"),
+        F.max("_font").alias("_font"), F.count_distinct("font").alias("_fonts"), F.count(F.lit(1)).alias("_n"), F.max("_margin").alias("_margin"),
+    )
+    font = F.when((F.col("_font.n") >= least_share * F.col("_n")) & (F.col("_fonts") > 1), F.col("_font.value"))
+    return g.select("doc", "page", F.coalesce("leading", F.lit(12.0)).alias("leading"), "body_size", font.alias("body_font"), F.col("_margin.value").alias("margin"))
+
+
+def outline_levels(outline: DataFrame) -> DataFrame:
+    """doc, has_sections: whether an outline names more sections than chapters."""
+    return outline.groupBy("doc").agg((F.count_if(F.col("level") >= 2) > F.count_if(F.col("level") == 1)).alias("has_sections"))
+
+
+def printed_contents(pages: DataFrame, most_pages: int = 25) -> DataFrame:
+    """doc, chapter, title, sections from the contents printed on a document's first pages (doc, page from 0, text).
+
+    Of several entries of a chapter the one with most sections stays, then the first.
+    """
+    head = r"Chapter\s+(\d+)\.?\s*\n\s*([^\n]{3,80})\n"
+    found = F.regexp_extract_all("text", F.lit(rf"((?s){head}.*?(?=Chapter\s+\d+\.|\z))"), F.lit(1))
+    e = pages.where((F.col("page") < most_pages) & F.contains("text", F.lit("Chapter"))).select("doc", "page", F.posexplode(found).alias("at", "e"))
+    flat = F.trim(F.regexp_replace(F.regexp_replace("e", f"^{head}", ""), r"\s*\n\s*", " "))
+    names = F.transform(F.split(flat, r"\s*[—–]+\s*|\s*-{2,}\s*"), lambda s: F.trim(tx.collapse(s), F.lit(" .-—")))
+    entry = e.select("doc", "page", "at", F.regexp_extract("e", head, 1).cast("int").alias("chapter"), F.trim(F.regexp_extract("e", head, 2)).alias("title"), F.filter(names, lambda s: F.length(s).between(3, 69)).alias("sections"))
+    best = entry.groupBy("doc", "chapter").agg(F.max(F.struct(F.size("sections"), -F.col("page"), -F.col("at"), "title", "sections")).alias("b"))
+    return best.select("doc", "chapter", "b.title", "b.sections")
+
+
+def clean_heading(x) -> Column:
+    """A heading in capitals is mended and set in title case; any other keeps its letters."""
+    t = tx.collapse(x)
+    letters = F.regexp_replace(t, r"[^\p{L}]", "")
+    capitals = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
+    runs = F.regexp_extract_all(F.lower(tx.ocr_letters(t)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    title = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1 << 30))), "")
+    return F.when((F.length(letters) > 0) & (capitals >= 0.75 * F.length(letters)), title).otherwise(t)
+
+
+def heading_noise(x) -> Column:
+    """Headings that name nothing: dates, under 4 characters, no letter, a few empty words."""
+    t = F.trim(tx.c(x))
+    return t.rlike(DATE_LIKE) | (F.length(t) < 4) | ~t.rlike(r"\p{L}") | F.lower(t).isin(EMPTY_HEADINGS)

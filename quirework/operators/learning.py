@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths
 from ..functions import text as tx
+from .references import apparatus
 
 KEY = ["learner", "item_id"]
 
@@ -122,3 +123,21 @@ def teachable(chunks: DataFrame, least_chars: int, least_chunks: int = 2) -> Dat
 def longest(chunks: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("pub_id", "chapter", "section").orderBy(F.desc("n_chars"), "id")
     return chunks.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+
+
+def precheck(question: Column, points: Column, source: Column) -> Column:
+    """Flags of a new item: its shape, an answer that it gives away, a source that is reference apparatus."""
+    flags = shape_flags(question, F.coalesce(points, F.array().cast("array<string>")))
+    return F.concat(flags, F.array_compact(F.array(F.when(apparatus(source).isNotNull(), F.lit("SOURCE_NOT_TEACHABLE")))))
+
+
+def undone(sections: DataFrame, done: DataFrame, keys: list[str] = ("pub_id", "chapter", "section")) -> DataFrame:
+    """Sections that a run which goes on has still to do; a null chapter equals a null chapter."""
+    s, d = sections.alias("s"), done.alias("d")
+    return s.join(d, [F.col(f"s.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys], "left_anti")
+
+
+def served(items: DataFrame, reviews: DataFrame) -> DataFrame:
+    """What a learner sees of the approved items: no source, no key points, and the edited question where there is one."""
+    approved = reviews.where("status = 'approved'").select("item_id", F.nullif("edited_question", F.lit("")).alias("_q"))
+    return items.join(approved, "item_id").select("pub_id", "section", "item_id", F.coalesce("_q", "question").alias("question"))

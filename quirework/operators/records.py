@@ -57,3 +57,26 @@ def missing_publications(named: DataFrame, loaded: DataFrame) -> DataFrame:
     have = loaded.select(F.col("pub").alias("_have")).distinct()
     hit = (F.col("pub") == F.col("_have")) | F.startswith("pub", F.col("_have")) | F.startswith(F.col("_have"), F.col("pub"))
     return named.withColumn("_h", head("pub")).join(have.withColumn("_h2", head("_have")), (F.col("_h") == F.col("_h2")) & hit, "left_anti").drop("_h")
+
+
+def canonical(df: DataFrame, columns: list[str], name: str = "canonical") -> DataFrame:
+    """``df`` + one JSON text of the columns in the order of their names, without blanks, nulls kept."""
+    return df.withColumn(name, F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+
+
+def gap_report(gaps: DataFrame, first: int = 12) -> DataFrame:
+    """kind, n, first_ids, missing of the classified refusals (id, kind, missing array): counts, the first ids, all publications asked for.
+
+    Only ``first`` ids a kind are gathered; the publications are distinct before they are.
+    """
+    w = Window.partitionBy("kind").orderBy("id")
+    head = gaps.select("kind", "id", F.row_number().over(w).alias("_r")).where(F.col("_r") <= first).groupBy("kind").agg(F.array_sort(F.collect_list("id")).alias("first_ids"))
+    wanted = gaps.select("kind", F.explode("missing").alias("pub")).distinct().groupBy("kind").agg(F.array_sort(F.collect_list("pub")).alias("missing"))
+    n = gaps.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(head, "kind").join(wanted, "kind", "left").select("kind", "n", "first_ids", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def telemetry(samples: DataFrame, by: str, value: str, order: str, most_drift: float = 100.0) -> DataFrame:
+    """Highest and mean value of each series, how far its last is from its first, and whether that is steady."""
+    g = samples.groupBy(by).agg(F.max(value).alias("top"), F.avg(value).alias("m"), (F.max_by(value, order) - F.min_by(value, order)).alias("d"))
+    return g.select(by, F.round("top", 6).alias("top"), F.round("m", 6).alias("mean"), F.round("d", 6).alias("drift"), (F.col("d") < most_drift).alias("steady"))

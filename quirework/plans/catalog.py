@@ -606,3 +606,6 @@ def answer_specifics(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = src.table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before"))
     return t.select("conv_id", "turn", specifics.specifics_verdict("text", "before", F.array("before")).alias("v")).select("conv_id", "turn", F.size("v.unsupported").alias("unsupported"), "v.refuse", "v.reason")
+
+
+from . import further  # noqa: E402, F401  (adds its queries to the tables above)
