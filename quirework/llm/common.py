@@ -51,9 +51,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand Python few rows at a time, so that long texts do not pile up in one Arrow batch."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Hand Python few rows and few bytes at a time, so that long texts (or tiles) do not pile up in one Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,8 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
     """Per query row the k highest scores, ties to smaller ids, without candidates that carry the query's own id."""
     out = []
     n = scores.shape[1]
-    take = min(n, k + 1)
-    # the (k+1)-th score bounds what can be among the k best besides the query's own row
+    # a query's own id takes no part, however often the block holds it: so many scores more bound the k best
+    take = min(n, k + int(np.unique(ids, return_counts=True)[1].max(initial=1)))
     cuts = np.partition(scores, n - take, axis=1)[:, n - take] if n > take else np.full(len(scores), np.iinfo(np.int64).min)
     rows, cols = np.nonzero(scores >= cuts[:, None])
     fine = ids[cols] != own[rows]
@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     components, or have no key, take no part on either side; vectors of another dimension than the query's
     take no part for it.  Repeated candidate rows count each; a repeated query key is answered from all its
     vectors, the k best overall.  Fewer than k candidates give fewer rows; empty tables give none.
-    Shortcomings of rows: memory of a task is one tile (rows x query_rows x 8 bytes) and two blocks.
+    Memory: a task holds one tile of scores (rows x query_rows x 8 bytes) and one Arrow batch of blocks.
     """
     spark = vectors.sparkSession
     common.small_batches(spark, 1024)

@@ -72,6 +72,22 @@ def test_topk_brute_force(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_topk_repeated_own_rows_leave_k_others(spark):
+    rows = [(0, [1.0, 1.0])] * 4 + [(i, [i / 10, 0.0]) for i in range(1, 9)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in topk.top_k(v, v.where("vec_id = 0").limit(1), 3, shards=1).orderBy("rank").collect()]
+    assert got == [8, 7, 6]
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    common.small_batches(spark)
+    big = spark.range(0, 80, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("t"))
+    sizes = big.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 48 << 20
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 65536)]
