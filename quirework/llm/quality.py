@@ -1,10 +1,10 @@
 """Quality rules by weak supervision, in SQL functions alone.
 
-Each rule votes good or bad or abstains.  What a rule's vote is worth is not set by hand: for a bad and for
-a good document it has a rate of bad votes, and expectation-maximisation over the vote patterns of all
-documents estimates these rates and the share of bad documents.  A document is kept if its posterior
-probability of being bad is under one half (and the base rules do not fail it), so one weak objection does
-not drop a document, and one strong one can.
+Each rule votes good or bad or abstains.  What a bad vote is worth is not set by hand: each rule has a bad
+class of its own, and expectation-maximisation over the vote patterns of all documents estimates the class's
+share against the good documents' and both rates of bad votes.  A document is kept if its posterior
+probability of being in any bad class is under one half (and the base rules do not fail it).  An objection
+that hardly any document draws counts as a false alarm; how often another rule objects does not matter.
 
 The patterns' table has at most 3 ** rules rows whatever the corpus, so estimation runs in one row.
 """
@@ -36,6 +36,9 @@ RANGE_BAD, RANGE_GOOD, RANGE_SHARE = (0.05, 0.95), (0.0005, 0.01), (0.01, 0.5)
 ROUNDS = 25
 #: First posterior of documents with a bad vote and of the others: from here no kind of bad document starts as good.
 FIRST = 0.9, 0.05
+#: A good document's rate of bad votes before any is seen, and how many times the good documents that counts: its
+#: weight grows with the corpus, so an objection that well under one document in a thousand draws is a false alarm.
+PRIOR_GOOD, PRIOR_WEIGHT = 0.0005, 9.0
 
 
 def _let(value: str, body: str, name: str) -> str:
@@ -96,37 +99,41 @@ def vote_sql() -> list[str]:
     return [f"CASE WHEN {SCORES[n]} > {bad} THEN 2 WHEN {SCORES[n]} <= {good} THEN 1 ELSE 0 END" for n, (_, bad, good) in RULES.items()]
 
 
-def fit(feats: DataFrame) -> tuple[float, list[float], list[float]]:
-    """(log odds of bad, weight of each rule's bad vote, weight of its good vote), from all rows of ``feats`` that pass the base rules.
+def fit(feats: DataFrame) -> tuple[list[float], list[float]]:
+    """(odds of bad by each rule's bad vote, by its other votes), from all rows of ``feats`` that pass the base rules.
 
-    What the base rules fail is decided; left in, its kind of badness would be what "bad" comes to mean.
+    What the base rules fail is decided and left out.  Each rule has a bad class of its own, held against the good
+    documents alone, so how often one rule objects says nothing about another's objections.
     """
     m = len(RULES)
     pats = feats.where(~base_failed()).groupBy(F.expr(f"array({', '.join(vote_sql())})").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     row = pats.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("ps"))
     arr = lambda x: f"array_repeat({x}D, {m})"
     clamp = lambda x, r: f"least({r[1]}D, greatest({r[0]}D, {x}))"
-    total = "aggregate(ps, 0D, (a, p) -> a + p.n)"
     each = f"sequence(0, {m - 1})"
-    logit = f"ln(st.share / (1 - st.share)) + aggregate({each}, 0D, (a, j) -> a + CASE p.v[j] WHEN 2 THEN ln(st.bad[j] / st.good[j]) WHEN 1 THEN ln((1 - st.bad[j]) / (1 - st.good[j])) ELSE 0D END)"
-    post = f"transform(ps, p -> if(k = 1, if(array_contains(p.v, 2), {FIRST[0]}D, {FIRST[1]}D), 1 / (1 + exp(-({logit})))))"
-    rate = lambda w, start, r: "transform(" + each + ", j -> " + clamp(f"({start}D + aggregate(zip_with(ps, g, (p, q) -> if(p.v[j] = 2, p.n * ({w}), 0D)), 0D, (a, x) -> a + x)) / (1D + aggregate(zip_with(ps, g, (p, q) -> if(p.v[j] > 0, p.n * ({w}), 0D)), 0D, (a, x) -> a + x))", r) + ")"
-    share = clamp(f"({START_SHARE}D + aggregate(zip_with(ps, g, (p, q) -> p.n * q), 0D, (a, x) -> a + x)) / (1D + {total})", RANGE_SHARE)
-    new = f"named_struct('share', {share}, 'bad', {rate('q', START_BAD, RANGE_BAD)}, 'good', {rate('1 - q', START_GOOD, RANGE_GOOD)})"
-    em = f"aggregate(sequence(1, {ROUNDS}), named_struct('share', {START_SHARE}D, 'bad', {arr(START_BAD)}, 'good', {arr(START_GOOD)}), (st, k) -> {_let(post, new, 'g')})"
+    first = f"transform({each}, j -> if(p.v[j] = 2, {FIRST[0]}D / size(filter(p.v, x -> x = 2)), 0D))"
+    odds = f"transform({each}, j -> st.odds[j] * if(p.v[j] = 2, st.bad[j] / st.good[j], (1 - st.bad[j]) / (1 - st.good[j])))"
+    shares = _let(odds, "transform(r, x -> x / (1 + aggregate(r, 0D, (a, y) -> a + y)))", "r")
+    post = f"transform(ps, p -> {_let(f'if(k = 1, {first}, {shares})', 'struct(q AS q, 1 - aggregate(q, 0D, (a, x) -> a + x) AS ok)', 'q')})"
+    total = lambda w: f"aggregate(zip_with(ps, g, (p, e) -> p.n * ({w})), 0D, (a, x) -> a + x)"
+    ok = total("e.ok")
+    weight = f"(1D + {PRIOR_WEIGHT}D * {ok})"
+    class_of = f"transform({each}, j -> {clamp(f'({START_SHARE}D / {m} + {total("e.q[j]")}) / (1D + {ok})', (0.0, 1.0))})"
+    bad = f"transform({each}, j -> {clamp(f'({START_BAD}D + {total("if(p.v[j] = 2, e.q[j], 0D)")}) / (1D + {total("e.q[j]")})', RANGE_BAD)})"
+    good = f"transform({each}, j -> ({PRIOR_GOOD}D * {weight} + {total('if(p.v[j] = 2, e.ok, 0D)')}) / ({weight} + {ok}))"
+    new = f"named_struct('odds', {class_of}, 'bad', {bad}, 'good', {good})"
+    em = f"aggregate(sequence(1, {ROUNDS}), named_struct('odds', {arr(START_SHARE)}, 'bad', {arr(START_BAD)}, 'good', {arr(PRIOR_GOOD)}), (st, k) -> {_let(post, new, 'g')})"
     st = row.select(F.coalesce("ps", F.array().cast("array<struct<v:array<int>,n:double>>")).alias("ps")).select(F.expr(em).alias("st")).select(
-        F.expr("ln(st.share / (1 - st.share))").alias("bias"),
-        F.expr("zip_with(st.bad, st.good, (b, g) -> ln(b / g))").alias("bad"),
-        F.expr("zip_with(st.bad, st.good, (b, g) -> ln((1 - b) / (1 - g)))").alias("good"),
+        F.expr(f"transform({each}, j -> st.odds[j] * st.bad[j] / st.good[j])").alias("bad"),
+        F.expr(f"transform({each}, j -> st.odds[j] * (1 - st.bad[j]) / (1 - st.good[j]))").alias("other"),
     ).first()
-    return st.bias, list(st.bad), list(st.good)
+    return list(st.bad), list(st.other)
 
 
-def p_bad(model: tuple[float, list[float], list[float]]) -> Column:
-    """Posterior probability that the document with these features is bad."""
-    bias, bad, good = model
-    terms = [f"CASE {v} WHEN 2 THEN {b!r}D WHEN 1 THEN {g!r}D ELSE 0D END" for v, b, g in zip((f"({v})" for v in vote_sql()), bad, good, strict=True)]
-    return F.expr(f"1 / (1 + exp(-({bias!r}D + {' + '.join(terms)})))")
+def p_bad(model: tuple[list[float], list[float]]) -> Column:
+    """Posterior probability that the document with these features is bad in any rule's way."""
+    terms = [f"CASE {v} WHEN 2 THEN {b!r}D ELSE {g!r}D END" for v, b, g in zip((f"({v})" for v in vote_sql()), *model, strict=True)]
+    return F.expr(f"1 - 1 / (1 + {' + '.join(terms)})")
 
 
 def judge(feats: DataFrame) -> DataFrame:

@@ -222,6 +222,17 @@ def test_quality_counts_and_verdicts(spark, odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_objections_do_not_void_each_other(spark):
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_exclaim n_digits".split()
+    row = lambda kind: tuple({"n_words": 100, "word_chars": 650, "n_lines": 10, **kind}.get(n, 0) for n in names)
+    symbols, capitals = row({"n_symbols": 20}), row({"n_upper": 400})
+    for hot in (0, 7000):  # with it, a third of all rows draws one other objection
+        rows = [row({})] * 13000 + [symbols] * 1000 + [capitals] * hot
+        got = {(r.n_symbols > 0, r.n_upper > 0): r for r in quality.judge(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))).distinct().collect()}
+        assert got[False, False].kept and not got[True, False].kept
+        assert not hot or not got[False, True].kept
+
+
 # op 7
 
 
