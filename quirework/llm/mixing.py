@@ -96,9 +96,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     return shuffled(_copies(docs, weights, epochs, temperature, max_rate, seed, docs.columns)).select("_row.*")
 
 
+def mixed_corpus(docs: DataFrame) -> DataFrame:
+    """The copies with all columns, texts included, in shuffled order, written to the shared folder."""
+    return common.saved(shuffled(replicate(docs)), "mixed")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    return shuffled(replicate(docs, carry=["doc_id", "source"]))
+    """Index, in shuffled order, of the mixed corpus that has been written whole (the SQL has these four columns)."""
+    return shuffled(mixed_corpus(common.documents(spark, sf_dir)).select("doc_id", "source", "copy", "shuffle_key"))
 
 
 MOST = math.ceil(MAX_RATE + 12 * math.sqrt(MAX_RATE) + 30)

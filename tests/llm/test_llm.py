@@ -249,6 +249,17 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd, epochs=50.0).count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_op7_writes_every_copy_with_its_text(spark, docs, monkeypatch):
+    made = {}
+    saved = common.saved
+    monkeypatch.setattr(common, "saved", lambda df, name: made.setdefault(name, saved(df, name)))
+    index = QUERIES["op7_mixing"](spark, SF).collect()
+    text = {d: t for d, t, *_ in docs}
+    rows = made["mixed"].collect()
+    assert sorted((r.doc_id, r.copy, r.shuffle_key) for r in rows) == sorted((r.doc_id, r.copy, r.shuffle_key) for r in index)
+    assert rows and all(r.text == text[r.doc_id] for r in rows) and "lang" in rows[0]
+
+
 # op 8
 
 
