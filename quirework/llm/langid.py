@@ -166,14 +166,29 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     return src.mapInArrow(run, schema)
 
 
+def cuts(docs: DataFrame, profiles: Profiles, share: float = 0.5) -> dict[str, float]:
+    """Least score of each language: ``share`` of the median over all of ``docs`` (lang, text) that are found to be in their own language.
+
+    A median, as some training texts can be gibberish under a wrong label; these score far below it.
+    """
+    own = identify(docs.where("lang IS NOT NULL").select("lang", "text"), profiles).where("lang = lang_pred")
+    return {r.lang: share * r.m for r in own.groupBy("lang").agg(F.percentile_approx("score", 0.5).alias("m")).collect()}
+
+
 def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: float = 0.02) -> DataFrame:
     """Documents in one of ``languages`` (all learned ones by default), all columns as they were.
 
-    Learned from the documents that are not held out; rejected are ``und`` and scores under ``least``.
+    Learned from the documents that are not held out; rejected are ``und``, scores under the language's cut from
+    these documents' own scores and, whatever the cut, scores under ``least``.
     """
-    profiles = train(docs.where("doc_id IS NOT NULL").where(~held_out()))
+    known = docs.where("doc_id IS NOT NULL").where(~held_out())
+    profiles = train(known)
+    low = cuts(known, profiles)
     found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), profiles)
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    cut = F.lit(least)
+    for name, value in low.items():
+        cut = F.when(F.col("lang_pred") == name, F.lit(max(least, value))).otherwise(cut)
+    good = (F.col("lang_pred") != "und") & (F.col("score") >= cut)
     if languages is not None:
         good &= F.col("lang_pred").isin(languages)
     return found.where(good).select("_row.*")

@@ -182,6 +182,17 @@ def test_langid_odd(odd, empty):
     assert langid.identify(odd, none).where("lang_pred <> 'und'").count() == 0 and langid.identify(empty, p).count() == 0
 
 
+def test_keep_languages_rejects_by_score(spark):
+    clean = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '[a-z]'").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(200))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 3
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 3
+    strange = [(-1, noise, None), (-2, "qx zq " * 100, None), (-3, polish, None), (-4, finnish, None), (-5, noise[::-1], "en")]
+    got = langid.keep_languages(clean.unionByName(spark.createDataFrame(strange, clean.schema))).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in clean.select("doc_id").collect())
+
+
 # op 5
 
 
