@@ -112,6 +112,26 @@ def reconcile(points: Column, claims: Column) -> Column:
     return F.struct(F.filter(points, hit).alias("covered"), F.filter(points, lambda p: ~hit(p)).alias("missed"))
 
 
+def _found(points: Column, claims: Column) -> Column:
+    """One boolean a point: some claim has at least half of its tokens.  Every text is cut into tokens once."""
+    has = lambda own, theirs: F.exists(theirs, lambda t: tx.overlap(t, own) >= 0.5)
+    each = lambda p, theirs: F.transform(F.array(tx.grading_tokens(p)), lambda own: has(own, theirs))[0]
+    return F.transform(F.array(F.transform(claims, tx.grading_tokens)), lambda theirs: F.transform(points, lambda p: each(p, theirs)))[0]
+
+
+def reconcile_missed(points: Column, missed: Column, verdict: Column) -> Column:
+    """struct<covered, missed>: all of a key point's text is in one of them, by the grader's ``missed`` list and verdict.
+
+    What was not called missed is credited; nothing missed and a verdict other than ``correct`` is all missed.
+    """
+    none = F.array().cast("array<string>")
+    called = F.coalesce(F.transform(F.arrays_zip(points.alias("p"), _found(points, F.coalesce(missed, none)).alias("hit")), lambda x: F.when(x["hit"], x["p"])), none)
+    called = F.filter(called, lambda p: p.isNotNull())
+    of = lambda c: F.when((F.size(c) == 0) & ~verdict.eqNullSafe(F.lit("correct")), points).otherwise(F.filter(points, lambda p: F.array_contains(c, p)))
+    split = lambda m: F.struct(F.filter(points, lambda p: ~F.array_contains(m, p)).alias("covered"), m.alias("missed"))
+    return F.transform(F.transform(F.array(called), of), split)[0]
+
+
 def teachable(chunks: DataFrame, least_chars: int, least_chunks: int = 2) -> DataFrame:
     """Sections with enough chunks of which one is long, without front matter or un-chaptered parts of chaptered publications."""
     g = chunks.where("section IS NOT NULL").groupBy("pub_id", "chapter", "section").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_chars") >= least_chars).cast("int")).alias("big"), F.min("id").alias("ord"))

@@ -389,6 +389,20 @@ def grade_reconcile(spark, d):
     return r.select("doc_id", F.size("r.covered").cast("long").alias("covered"), F.size("r.missed").cast("long").alias("missed"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, text, list_sort(list_distinct(list_filter(string_split(text, chr(10)), lambda s: length(s) > 0))) AS l FROM documents),
+c AS (SELECT doc_id, unnest(l[1:-:2]) AS point, list_transform(l[2:-:2], lambda x: {_gt('x')}) AS missed FROM t),
+h AS (SELECT doc_id, len(list_filter(missed, lambda x: len(list_intersect(x, {_gt('point')})) / greatest(len({_gt('point')}), 1) >= 0.5)) > 0 AS hit FROM c),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS m FROM h GROUP BY 1)
+SELECT doc_id, CASE WHEN m = 0 AND doc_id % 3 > 0 THEN 0 ELSE n - m END AS covered, CASE WHEN m = 0 AND doc_id % 3 > 0 THEN n ELSE m END AS missed FROM g""")
+def grade_reconcile_lines(spark, d):
+    """All distinct lines of every document: those at odd places are key points, the others what the grader called missed."""
+    docs = src.table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split("text", "\n"), lambda s: F.length(s) > 0))).alias("l")).where(F.size("l") > 0)
+    at = lambda k: F.filter("l", lambda x, i: i % 2 == k)
+    verdict = F.when(F.col("doc_id") % 3 > 0, "partial").otherwise("correct")
+    r = docs.select("doc_id", at(0).alias("points"), at(1).alias("called"), verdict.alias("verdict")).select("doc_id", F.inline(F.array(lr.reconcile_missed(F.col("points"), F.col("called"), F.col("verdict")))))
+    return r.select("doc_id", F.size("covered").cast("long").alias("covered"), F.size("missed").cast("long").alias("missed"))
+
+
 @query(_with(tb.CHUNKS) + r"SELECT pub_id, chapter, section, count(*) AS n, CAST(sum(CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS big, min(id) AS ord FROM chunks WHERE NOT regexp_matches(section, '(?i)^(mcd|mcdp|distribution|foreword|preface|notes?|conclusion notes)') GROUP BY ALL HAVING count(*) >= 2 AND big >= 1")
 def teachable_sections(spark, d):
     return lr.teachable(tb.chunks(spark, d), 400)

@@ -121,3 +121,12 @@ def test_bm25_empty_and_ties(spark):
     q = spark.createDataFrame([(7, "cat"), (8, "bird"), (9, "")], "q int, text string")
     got = [(r.query_id, r.d, r["rank"]) for r in rt.bm25(docs, q, 5, "d", "q").orderBy("rank").collect()]
     assert got == [(7, 1, 1), (7, 2, 2)]
+
+
+def test_reconcile_by_missed_list_and_verdict(spark):
+    points = ["alpha bravo", "charlie delta", "echo foxtrot", "alpha golf", "of it"]
+    cases = [(["said alpha bravo"], "partial"), ([], "incorrect"), ([], "correct"), (None, None), (["zulu"], "partial"), (["charlie delta", "echo"], "correct")]
+    df = spark.createDataFrame([(i, points, m, v) for i, (m, v) in enumerate(cases)], "i int, points array<string>, missed array<string>, verdict string")
+    got = [r.r for r in df.select("i", lr.reconcile_missed(F.col("points"), F.col("missed"), F.col("verdict")).alias("r")).orderBy("i").collect()]
+    want = [[points[0], points[3]], points, [], points, points, points[1:3]]
+    assert [r.missed for r in got] == want and [r.covered for r in got] == [[p for p in points if p not in m] for m in want]
