@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 
 
 def with_seq(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
-    """New rows numbered on from the highest seq.  One batch of appended rows; order by (seq, id) when reading."""
+    """New rows numbered on from the highest seq.  One batch of appended rows; order by (seq, id) when reading.
+
+    Rows are dealt out in ranges of ``order`` and written with their place in the range (``spark.checkpoint.dir``);
+    a range's first number is the sum of the counts before it, so only counts meet in one task.
+    """
+    ranges = new.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranges.select(F.struct(*[F.col(f"`{c}`") for c in new.columns]).alias("_row"), F.monotonically_increasing_id().alias("_at")).checkpoint()
+    placed = placed.select("_row", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
     top = old.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_top"))
-    return new.crossJoin(F.broadcast(top)).withColumn("seq", F.col("_top") + F.row_number().over(Window.orderBy(*order))).drop("_top")
+    seq = (F.col("_top") + F.col("_first") + F.col("_place") + 1).alias("seq")
+    return placed.join(F.broadcast(first), "_range").crossJoin(F.broadcast(top)).select(*[F.col("_row")[c].alias(c) for c in new.columns if c != "seq"], seq)
 
 
 def stats(interactions: DataFrame) -> DataFrame:

@@ -207,6 +207,12 @@ def sequence_numbers(spark, d):
     return rec.with_seq(new, e.where("event_id < 100").select(F.col("event_id").alias("seq")), ["ts", "event_id"]).select("event_id", F.col("seq").cast("long").alias("seq"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
+def sequence_numbers_all(spark, d):
+    e = src.table(spark, d, "events").select("event_id", "ts")
+    return rec.with_seq(e, e.where("false").select(F.col("event_id").alias("seq")), ["ts", "event_id"]).select("event_id", F.col("seq").cast("long").alias("seq"))
+
+
 @query("SELECT event_type, round(max(value), 6) AS top, round(avg(value), 6) AS mean, round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS drift, arg_max(value, event_id) - arg_min(value, event_id) < 100 AS steady FROM events GROUP BY 1")
 def telemetry_summary(spark, d):
     return rec.telemetry(src.table(spark, d, "events"), "event_type", "value", "event_id")

@@ -130,3 +130,11 @@ def test_reconcile_by_missed_list_and_verdict(spark):
     got = [r.r for r in df.select("i", lr.reconcile_missed(F.col("points"), F.col("missed"), F.col("verdict")).alias("r")).orderBy("i").collect()]
     want = [[points[0], points[3]], points, [], points, points, points[1:3]]
     assert [r.missed for r in got] == want and [r.covered for r in got] == [[p for p in points if p not in m] for m in want]
+
+
+def test_seq_over_many_ranges_without_one_window(spark):
+    new = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5000).alias("x")).repartition(7)
+    out = rec.with_seq(new, spark.createDataFrame([(10,)], "seq long"), ["x"])
+    assert {(r.x, r.seq) for r in out.collect()} == {(i, 11 + i) for i in range(5000)}
+    rows = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in rows and "_n" in rows
