@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Search
 from ..functions import text as tx
 from ..operators import evaluation as ev
 from ..operators import gates
@@ -15,7 +16,7 @@ from ..sources import manifest as mf
 from ..sources import tables as src
 from ..streaming import windows as win
 from . import tables as tb
-from .catalog import _LINES, SQL, _lines, _with, query, threshold_grid
+from .catalog import _BM25, _FUSED, _LINES, _OVER, SQL, _hybrid, _lines, _with, query, threshold_grid
 
 # -- references and page structure
 
@@ -156,6 +157,18 @@ def prompt_assembly(spark, d):
     return q.join(packed, "k").select("item_id", gates.prompt(F.col("question"), F.col("s")).alias("prompt"))
 
 
+@query(f"""WITH {_BM25}, {_OVER}, {_FUSED}
+SELECT query_id AS item_id, 'SOURCES:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || source || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || chr(10) || 'QUESTION: ' || any_value(b.text) AS prompt
+FROM hy JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8 GROUP BY 1""")
+def prompt_from_hits(spark, d):
+    """Prompts of all questions from the ranked hits of the hybrid search, with the hits' whole texts."""
+    best = _hybrid(spark, d).where(F.col("rank") <= Search().final_k).select("query_id", "rank", "doc_id")
+    docs = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("citation"), "text")
+    packed = docs.join(best, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "citation", "text"))).alias("s"))
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return q.join(packed, "query_id").select(F.col("query_id").alias("item_id"), gates.prompt(F.col("question"), F.col("s")).alias("prompt"))
+
+
 @query("""WITH l AS (SELECT DISTINCT doc_id % 10 AS query_id, source AS pub_id, lang AS section FROM documents WHERE doc_id % 9 = 0 AND doc_id % 10 < 7)
 SELECT doc_id, EXISTS (SELECT 1 FROM l WHERE l.query_id = d.doc_id % 10 AND l.pub_id = d.source AND l.section = d.lang) AS relevant,
 CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.query_id = d.doc_id % 10) THEN EXISTS (SELECT 1 FROM l WHERE l.query_id = d.doc_id % 10 AND l.pub_id = d.source) END AS cited_relevant FROM documents d""")

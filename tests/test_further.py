@@ -8,8 +8,11 @@ from quirework.operators import learning as lr
 from quirework.operators import records as rec
 from quirework.operators import references as ref
 from quirework.sources import manifest as mf
+from quirework.plans.catalog import QUERIES
 from quirework.streaming import windows as win
 
+from .conftest import SF
+
 PROSE = "All actions take place in an atmosphere of uncertainty, which nobody who has been there will forget."
 
 
@@ -98,3 +101,12 @@ def test_tumbling_stream_equals_table(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("tumbling_test")) == key(win.tumbling(e, "at", "k", "v"))
+
+
+def test_prompts_hold_whole_texts_of_the_hits(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    hits: dict = {}
+    for r in QUERIES["hybrid_search"](spark, SF).orderBy("query_id", "rank").collect():
+        hits.setdefault(r.query_id, []).append(f"[{r.rank}] {r.source}\n{text[r.doc_id]}")
+    got = {r.item_id: r.prompt for r in QUERIES["prompt_from_hits"](spark, SF).collect()}
+    assert got.keys() == hits.keys() and all(got[q].startswith("SOURCES:\n\n" + "\n\n".join(h) + "\n\n\nQUESTION: ") for q, h in hits.items())
