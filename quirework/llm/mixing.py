@@ -32,8 +32,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     """source, rate: mean repetitions.  Output bytes aim at ``epochs`` times the input's.
 
     Targets: ``weights`` by source (sources it does not name get none, names of absent sources do not count), or by default each source's bytes to
-    the power ``temperature``, in proportion.  No rate is above ``max_rate``, so that a tiny source is not
-    repeated without end; that is part of the target, not a cut of rows.
+    the power ``temperature``, in proportion.  There no rate is above ``max_rate``, so that a tiny source is not
+    repeated without end; that is part of the target, not a cut of rows.  Given weights are met without a cap.
     """
     by = docs.groupBy(F.col(source).alias("source")).agg(F.sum(common.text_bytes(text) + 1).alias("bytes"))
     if weights is None:
@@ -42,7 +42,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         named = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]) if weights else F.create_map().cast("map<string,double>")
         goal = by.withColumn("goal", F.coalesce(F.try_element_at(named, F.col("source")), F.lit(0.0)))
     total = goal.agg(F.sum("bytes").alias("all_bytes"), F.sum(F.round(F.col("goal"), 6)).alias("all_goals"))
-    rate = F.least(F.lit(max_rate), F.lit(epochs) * F.col("goal") / F.col("all_goals") * F.col("all_bytes") / F.col("bytes"))
+    rate = F.lit(epochs) * F.col("goal") / F.col("all_goals") * F.col("all_bytes") / F.col("bytes")
+    if weights is None:
+        rate = F.least(F.lit(max_rate), rate)
     return goal.crossJoin(F.broadcast(total)).select("source", F.coalesce(F.round(rate, 9), F.lit(0.0)).alias("rate"))
 
 
@@ -71,15 +73,20 @@ def _copies(docs: DataFrame, weights, epochs: float, temperature: float, max_rat
     """_row struct of ``carry``, copy, shuffle_key: the columns of ``docs`` cannot clash with what is added."""
     table = common.saved(rates(docs, weights, epochs, temperature, max_rate), "rates")
     most = math.ceil(max_rate + 12 * math.sqrt(max_rate) + 30)
-    cdf = table.select(F.col("source").alias("_source"), distribution(F.col("rate"), most).alias("_cdf"))
+    # a rate above max_rate is the sum of draws with equal rates below it
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(max_rate))).cast("int")
+    cdf = table.select(F.col("source").alias("_source"), draws.alias("_draws"), distribution(F.col("rate") / draws, most).alias("_cdf"))
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"))
     if table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         met = src.join(F.broadcast(cdf), F.col("_of").eqNullSafe(F.col("_source")))
     else:
         salted = cdf.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = src.withColumn("_own", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt")))
-    u = hashed(F.lit(seed), F.col("_id")) / F.lit(float(1 << 52))
-    drawn = met.withColumn("_u", u).withColumn("_n", F.expr("size(filter(_cdf, c -> _u >= c))")).where("_n > 0")
+    uniform = lambda *own: hashed(F.lit(seed), F.col("_id"), *own) / F.lit(float(1 << 52))
+    further = F.expr("if(_draws > 1, sequence(1, _draws - 1), array())")
+    us = F.concat(F.array(uniform()), F.transform(further, lambda i: uniform(F.lit("draw"), i)))
+    count = F.expr("aggregate(_us, 0, (n, u) -> n + size(filter(_cdf, c -> u >= c)))")
+    drawn = met.withColumn("_us", us).withColumn("_n", count).where("_n > 0")
     copies = drawn.select("_row", "_id", F.explode(F.expr("sequence(1, _n)")).alias("copy"))
     return copies.select("_row", "copy", hashed(F.lit(f"{seed}-order"), F.col("_id"), F.col("copy")).alias("shuffle_key"))
 

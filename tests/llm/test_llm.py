@@ -260,6 +260,12 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd, epochs=50.0).count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_given_weights_are_met_above_the_default_cap(spark):
+    df = spark.createDataFrame([(i, "x" * 99, "big" if i >= 40 else "small") for i in range(4000)], "doc_id long, text string, source string")
+    n = {r.source: r["count"] for r in mixing.replicate(df, weights={"big": 1.0, "small": 1.0}).groupBy("source").count().collect()}
+    assert abs(n["small"] - 2000) < 200 and abs(n["big"] - 2000) < 200  # 50 repetitions of each small document
+
+
 def test_op7_writes_every_copy_with_its_text(spark, docs, monkeypatch):
     made = {}
     saved = common.saved
