@@ -303,17 +303,18 @@ def near_groups(docs: DataFrame, tau: int = 4, sample: int = 4096, big: int = 81
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the one document of each near-duplicate group that has the smallest doc_id, all columns as they were.
+    """``docs`` with the one row of each near-duplicate group that has the smallest (doc_id, text hash), all columns as they were.
 
-    Of rows that share a doc_id one stays.  Rows without a doc_id stand behind all others (ids from 2 ** 62
-    on, by text, so that equal texts count as one).
+    Rows that share a doc_id are told apart by their texts: each group keeps one.  Rows without a doc_id stand behind
+    all others (ids from 2 ** 62 on, by text, so that equal texts count as one).
     """
-    own = next(n for n in ("_id", "_id_", "_own_id_") if n not in docs.columns)
+    own, key = (next(n for n in names if n not in docs.columns) for names in (("_id", "_id_", "_own_id_"), ("_key", "_key_", "_own_key_")))
     spare = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), spare))
-    groups = near_groups(keyed.select(F.col(own).alias("doc_id"), "text"), **options)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    return keyed.join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
+    keyed = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), spare)).withColumn(key, F.xxhash64(own, F.coalesce("text", F.lit(""))))
+    groups = near_groups(keyed.select(F.col(key).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(key), "component_id").distinct()
+    first = keyed.select(key, own).distinct().join(groups, key).groupBy("component_id").agg(F.min(F.struct(own, key)).alias("first"))
+    kept = first.select(F.col("first")[key].alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(own, key)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,12 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_different_texts_that_share_an_id(spark, docs):
+    a, b, c = (t for _, t, *_ in docs[:3])
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (0, a), (2, c)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(df).collect())) == sorted([(0, a), (1, b), (2, c)])
+
+
 # op 9
 
 
