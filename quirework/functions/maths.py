@@ -18,6 +18,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
+def round_exact(x: Column, places: int) -> Column:
+    """``x`` to so many places, half to even, as its binary value stands: 2.675 is below the half and gives 2.67.
+
+    Spark's own rounding takes the shortest decimal form for the value.  The product with 10 ** places is
+    made exact as a sum of two doubles (Dekker's splitting), and the half is looked for in both.
+    """
+    by = float(10**places)
+    c = x * F.lit(134217729.0)
+    hi = c - (c - x)
+    p = x * by
+    rest = (hi * by - p) + (x - hi) * by
+    low = F.floor(p).cast("double")
+    over = (p - low - 0.5) + rest
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / by
+
+
 def interval_days(streak: Column, verdict: Column, confidence: Column) -> Column:
     ladder = F.element_at(F.array(*[F.lit(d) for d in LADDER]), F.least(F.greatest(streak, F.lit(1)), F.lit(len(LADDER))).cast("int"))
     unsure = confidence.isNull() | (confidence <= 1)

@@ -120,7 +120,7 @@ def pub_mentions(x) -> Column:
 
 def item_id(pub_id, chapter, source_text, ordinal) -> Column:
     digest = F.substring(F.sha2(collapse(source_text), 256), 1, 10)
-    return F.concat_ws("-", F.regexp_replace(F.lower(c(pub_id)), "[^a-z0-9]", ""), F.concat(F.lit("c"), F.coalesce(c(chapter), F.lit(0)).cast("string")), digest, c(ordinal).cast("string"))
+    return F.concat_ws("-", F.regexp_replace(c(pub_id), "[^A-Za-z0-9]", ""), F.concat(F.lit("c"), F.coalesce(c(chapter), F.lit(0)).cast("string")), digest, c(ordinal).cast("string"))
 
 
 def support_label(x) -> Column:

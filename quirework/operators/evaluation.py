@@ -1,10 +1,12 @@
-"""Evaluation and tuning over records (id, kind, top_score, min_support, n_claims, declined, error, pub_id, latency)."""
+"""Evaluation and tuning over records (id, kind, expects, top_score, min_support, n_claims, declined, error, pub_id, latency)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import maths
+
 
 def would_answer(score_thr: Column, support_thr: Column) -> Column:
     """Replay of the gates; a null threshold is off, a null score fails one that is on."""
@@ -13,13 +15,30 @@ def would_answer(score_thr: Column, support_thr: Column) -> Column:
     return F.col("error").isNull() & ~F.col("declined") & score & support
 
 
+def _outcomes(n) -> list[Column]:
+    """Counts of outcomes; ``n``: (name, condition over kind, expects, answered) -> a counting column."""
+    inside, answered, expects = F.col("kind") == "in", F.col("answered"), F.col("expects")
+    out = F.col("kind") == "out"
+    return [
+        n("n_in", inside), n("n_out", out & ~expects), n("n_traps", out & expects),
+        n("refused", inside & ~answered), n("false_answers", out & ~expects & answered), n("trap_missed", out & expects & ~answered),
+    ]
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    """+ over_refusal and false_answer: shares of what can be refused or answered wrongly; an empty side gives 0."""
+    share = lambda a, n: F.col(a) / F.greatest(n, F.lit(1))
+    return counts.withColumn("over_refusal", share("refused", "n_in")).withColumn("false_answer", share("false_answers", "n_out"))
+
+
 def confusion(records: DataFrame, by: list[str]) -> DataFrame:
-    """Over-refusal and false-answer rates by threshold columns ``score_thr`` and ``support_thr``."""
-    answered = would_answer(F.col("score_thr"), F.col("support_thr"))
-    kind = lambda k, a: F.count_if((F.col("kind") == k) & a)
-    n = records.where("error IS NULL").groupBy(*by).agg(kind("in", F.lit(True)).alias("n_in"), kind("out", F.lit(True)).alias("n_out"), kind("in", ~answered).alias("refused"), kind("out", answered).alias("answered"))
-    one = F.lit(1)
-    return n.withColumn("over_refusal", F.round(F.col("refused") / F.greatest("n_in", one), 6)).withColumn("false_answer", F.round(F.col("answered") / F.greatest("n_out", one), 6))
+    """Counts and rates of a replay with threshold columns ``score_thr`` and ``support_thr``; records with an error are left out.
+
+    A question outside the corpus is a trap if an answer is expected all the same (``expects``): answering it is
+    right, refusing it misses the trap, and it is no part of the false answers.
+    """
+    replayed = records.where("error IS NULL").withColumn("answered", would_answer(F.col("score_thr"), F.col("support_thr"))).withColumn("expects", F.coalesce("expects", F.lit(False)))
+    return _rates(replayed.groupBy(*by).agg(*_outcomes(lambda name, c: F.count_if(c).alias(name))))
 
 
 def at_ranks(df: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
@@ -40,27 +59,44 @@ def nearest_ranks(df: DataFrame, value: str, shares: dict[str, float]) -> DataFr
     return got.select("n", *shares)
 
 
-def quantile_grid(records: DataFrame, value: str, n: int = 20) -> DataFrame:
-    """Threshold grid (grid_no, value): off, below all, then n - 1 exclusive quantiles, which extrapolate past the ends."""
+def quantile_grid(records: DataFrame, value: str, n: int = 20, below: bool = True, places: int = 2) -> DataFrame:
+    """Threshold grid (grid_no, value): off, with ``below`` one under all values, then n - 1 exclusive quantiles, which extrapolate past the ends."""
     m = F.col("n") + 1
     j = lambda i: F.greatest(F.lit(1), F.least(F.floor(i * m / n), F.col("n") - 1))
     ranks = {f"{side}{i}": j(i) + int(side == "b") for i in range(1, n) for side in "ab"}
     row = at_ranks(records, value, ranks)
     delta = lambda i: i * m - j(i) * n
     cuts = [(F.col(f"a{i}") * (n - delta(i)) + F.col(f"b{i}") * delta(i)) / n for i in range(1, n)]
-    points = row.select(F.concat(F.array(F.lit(None).cast("double"), F.col("least") - 1), F.when(F.col("n") > 1, F.array(*cuts)).otherwise(F.array().cast("array<double>"))).alias("p"))
-    return points.select(F.posexplode("p").alias("grid_no", value)).withColumn(value, F.round(value, 6))
+    first = [F.lit(None).cast("double"), *([F.col("least") - 1] if below else [])]
+    points = row.select(F.concat(F.array(*first), F.when(F.col("n") > 1, F.array(*cuts)).otherwise(F.array().cast("array<double>"))).alias("p"))
+    return points.select(F.posexplode("p").alias("grid_no", value)).withColumn(value, maths.round_exact(F.col(value), places))
 
 
 def sweep(records: DataFrame, scores: DataFrame, supports: DataFrame) -> DataFrame:
-    """Every pair of thresholds judged in one pass: each record is compared to a broadcast grid of fixed size."""
-    grid = scores.select(F.col("grid_no").alias("g1"), F.col("top_score").alias("score_thr")).crossJoin(supports.select(F.col("grid_no").alias("g2"), F.col("min_support").alias("support_thr")))
-    packed = grid.agg(F.collect_list(F.struct("g1", "score_thr", "g2", "support_thr")).alias("g"))
-    return confusion(records.crossJoin(F.broadcast(packed)).select("*", F.inline("g")), ["g1", "score_thr", "g2", "support_thr"])
+    """Every pair of thresholds (g1, score_thr, g2, support_thr) judged in one pass over the records.
 
-
-def distribution(records: DataFrame, by: str = "pub_id") -> DataFrame:
-    return records.where("error IS NULL AND top_score IS NOT NULL").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("top_score"), 2).alias("lo"), F.round(F.median("top_score"), 2).alias("mid"), F.round(F.max("top_score"), 2).alias("hi"))
+    A record passes a threshold or not, and thresholds that it passes are the lowest ones: so it falls in one of few
+    cells (how many of each grid it passes), counted before the shuffle, and the grid is judged on cells.  The two
+    grids (ascending, off first) are some forty numbers and come to the driver.
+    """
+    s, u = ([r[0] for r in g.orderBy("grid_no").select(v).collect()] for g, v in ((scores, "top_score"), (supports, "min_support")))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs if x is not None]).cast("array<double>")
+    passes = lambda v, xs: F.size(F.filter(array(xs), lambda t: F.coalesce(F.col(v) >= t, F.lit(False))))
+    ok = records.where("error IS NULL")
+    spot = ok.select("kind", F.coalesce("expects", F.lit(False)).alias("expects"), "declined", passes("top_score", s).alias("s"), F.when(F.col("n_claims") == 0, F.size(array(u))).otherwise(passes("min_support", u)).alias("u"))
+    cells = spot.groupBy("kind", "expects", "declined", "s", "u").agg(F.count(F.lit(1)).alias("n"))
+    points = lambda xs, g, t, need: F.array(*[F.struct(F.lit(i).alias(g), F.lit(x).cast("double").alias(t), F.lit(sum(y is not None for y in xs[: i + 1]) if x is not None else 0).alias(need)) for i, x in enumerate(xs)])
+    judged = cells.select("*", F.inline(points(s, "g1", "score_thr", "need_s"))).select("*", F.inline(points(u, "g2", "support_thr", "need_u")))
+    judged = judged.withColumn("answered", ~F.col("declined") & (F.col("s") >= F.col("need_s")) & (F.col("u") >= F.col("need_u")))
+    return _rates(judged.groupBy("g1", "score_thr", "g2", "support_thr").agg(*_outcomes(lambda name, c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name))))
+
+
+def distribution(records: DataFrame, offs: DataFrame | None = None, kind: str = "in", by: str = "pub_id") -> DataFrame:
+    """Each group's number of records of one kind, lowest, middle and highest score, its offset (0 without one) and the middle after it."""
+    g = records.where(f"error IS NULL AND top_score IS NOT NULL AND {by} IS NOT NULL").where(F.col("kind") == kind).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min("top_score").alias("lo"), F.median("top_score").alias("m"), F.max("top_score").alias("hi"))
+    g = g.withColumn("offset", F.lit(0.0)) if offs is None else g.join(offs.select(by, F.col("offset").alias("_o")), by, "left").withColumn("offset", F.coalesce("_o", F.lit(0.0)))
+    two = lambda c: maths.round_exact(c, 2)
+    return g.select(by, "n", two(F.col("lo")).alias("lo"), two(F.col("m")).alias("mid"), two(F.col("hi")).alias("hi"), "offset", two(F.col("m") + F.col("offset")).alias("mid_after"))
 
 
 def offsets(records: DataFrame, least: int, share: float = 0.5, by: str = "pub_id") -> DataFrame:
@@ -73,7 +109,7 @@ def offsets(records: DataFrame, least: int, share: float = 0.5, by: str = "pub_i
 
 def calibrated(records: DataFrame, offs: DataFrame, by: str = "pub_id") -> DataFrame:
     """A group without an offset keeps its score; a null score stays null."""
-    return records.join(F.broadcast(offs.select(by, "offset")), by, "left").withColumn("effective", F.col("top_score") + F.coalesce("offset", F.lit(0.0)))
+    return records.join(offs.select(by, "offset"), by, "left").withColumn("effective", F.col("top_score") + F.coalesce("offset", F.lit(0.0)))
 
 
 def rescue_curve(records: DataFrame) -> DataFrame:
@@ -102,9 +138,8 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
 
 def best_point(swept: DataFrame) -> DataFrame:
-    """The pair of thresholds with the least sum of both rates, then fewest wrong answers, then first in the grid."""
-    total = F.round(F.col("over_refusal") + F.col("false_answer"), 6)
-    return swept.withColumn("total", total).orderBy("total", "answered", "g1", "g2").limit(1)
+    """The pair of thresholds with the least sum of both rates, then fewest traps missed, then first in the grid."""
+    return swept.withColumn("total", F.col("false_answer") + F.col("over_refusal")).orderBy("total", "trap_missed", "g1", "g2").limit(1)
 
 
 def signal_ranges(rows: DataFrame) -> DataFrame:

@@ -7,29 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Screening marks (pattern, name).
+#: Screening marks.
 MARKS = [
-    (r"\bCUI\b", "CUI marking"),
-    (r"CONTROLLED\s+UNCLASSIFIED", "Controlled Unclassified Information"),
-    (r"\bFOUO\b", "FOUO"),
-    (r"FOR\s+OFFICIAL\s+USE\s+ONLY", "For Official Use Only"),
-    (r"\bNOFORN\b", "NOFORN"),
-    (r"\bSECRET\b", "classification marking"),
-    (r"\bCONFIDENTIAL\b", "classification marking"),
-    (r"\bTOP\s+SECRET\b", "classification marking"),
-    (r"LAW\s+ENFORCEMENT\s+SENSITIVE", "LES"),
-    (r"EXPORT\s+CONTROL", "export control"),
-    (r"\bITAR\b", "ITAR"),
+    r"\bCUI\b",
+    r"CONTROLLED\s+UNCLASSIFIED",
+    r"\bFOUO\b",
+    r"FOR\s+OFFICIAL\s+USE\s+ONLY",
+    r"\bNOFORN\b",
+    r"\bSECRET\b",
+    r"\bCONFIDENTIAL\b",
+    r"\bTOP\s+SECRET\b",
+    r"LAW\s+ENFORCEMENT\s+SENSITIVE",
+    r"EXPORT\s+CONTROL",
+    r"\bITAR\b",
 ]
 
 
-def furniture(lines: DataFrame, least: int = 3) -> DataFrame:
-    """Digit-normalised lines that come up on at least ``least`` pages."""
-    norm = F.regexp_replace(F.trim("text"), r"\d+", "#")
-    g = lines.select(norm.alias("norm")).where("norm NOT IN ('', '#')").groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+def line_pattern(x) -> Column:
+    """A line with single blanks and each number as one mark, so that a running foot is one pattern on all pages."""
+    return F.trim(F.regexp_replace(tx.collapse(x), r"\d+", "#"))
+
+
+def furniture(lines: DataFrame, least: int = 3, band: float = 0.15) -> DataFrame:
+    """doc, norm, n: line patterns that stand at least ``least`` times in the top or bottom ``band`` of a document's pages.
+
+    ``lines``: doc, text, y, height (of the page).  A bare number is no furniture; it is the page's label.
+    """
+    edge = (F.col("y") < F.col("height") * F.lit(band)) | (F.col("y") > F.col("height") * F.lit(1 - band))
+    g = lines.where(edge).select("doc", line_pattern("text").alias("norm")).where("norm NOT IN ('', '#')").groupBy("doc", "norm").agg(F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= least)
 
 
+def body_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``lines`` (doc, page, line_no, text, …) without page numbers and without the document's :func:`furniture`, wherever on the page it stands."""
+    number = F.coalesce(F.trim("text").rlike(PAGE_NUMBER), F.lit(False))
+    own = lines.where(~number).withColumn("_norm", line_pattern(F.trim("text")))
+    return own.join(found.select("doc", F.col("norm").alias("_norm")), ["doc", "_norm"], "left_anti").select(*lines.columns)
+
+
 def paragraphs(lines: DataFrame, factor: float = 1.45) -> DataFrame:
     """doc, para, first_line, n_lines: a line starts a paragraph if it is a heading or its gap to the line before on its page is large.
 
@@ -71,9 +86,13 @@ def outline_asof(points: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def screen(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, mark_no, exact, loose: hits in capitals and hits in any case of each mark; rows with hits only."""
-    marks = F.array(*[F.struct(F.lit(i).alias("mark_no"), F.regexp_count(text, F.lit(p)).alias("exact"), F.regexp_count(text, F.lit("(?i)" + p)).alias("loose")) for i, (p, _) in enumerate(MARKS)])
-    return docs.select(key, F.inline(marks)).where("loose > 0")
+    """key, mark_no, exact, loose: hits in capitals and hits in any case of each mark; rows with hits only.
+
+    One pattern of all marks is tried first; only texts that it hits are counted mark by mark.
+    """
+    hit = docs.where(F.col(text).rlike("(?i)" + "|".join(MARKS)))
+    marks = F.array(*[F.struct(F.lit(i).alias("mark_no"), F.regexp_count(text, F.lit(p)).alias("exact"), F.regexp_count(text, F.lit("(?i)" + p)).alias("loose")) for i, p in enumerate(MARKS)])
+    return hit.select(key, F.inline(marks)).where("loose > 0")
 
 
 def clearance(docs: DataFrame, findings: DataFrame, adjudicated: DataFrame, key: str) -> DataFrame:

@@ -36,38 +36,89 @@ def due_counts(sched: DataFrame, items: DataFrame, now: int) -> DataFrame:
 
 
 def next_item(sched: DataFrame, items: DataFrame, last_served: DataFrame, now: int) -> DataFrame:
-    """learner, item_id: the most overdue item, else the first unseen in track order, else the weakest; never the last served."""
+    """learner, item_id, tier: the most overdue item, else the first unseen in track order, else the weakest; never the last served.
+
+    Unseen items are looked for only for learners without anything overdue, and of these only as far as two of
+    them can lie: a learner with n seen items has two unseen ones among the first n + 2 of the track.
+    """
     learners = sched.select("learner").distinct()
-    seen = sched.join(items, "item_id").select("learner", "item_id", "pos", "streak", "due")
-    # the first two unseen items decide, so that the last-served one can be left out
-    taken = seen.groupBy("learner").agg(F.collect_set("item_id").alias("ids"))
-    order = items.agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("track"))  # one track: bounded by the item bank
-    first = learners.join(taken, "learner", "left").crossJoin(F.broadcast(order)).select("learner", F.explode(F.slice(F.filter("track", lambda x: ~F.array_contains(F.coalesce("ids", F.array().cast("array<int>")), x["item_id"])), 1, 2)).alias("x")).select("learner", F.col("x.item_id").alias("item_id"), F.col("x.pos").alias("pos"), F.lit(None).cast("int").alias("streak"), F.lit(None).cast("bigint").alias("due"))
-    tier = F.when(F.col("due").isNull(), 2).when(F.col("due") <= now, 1).otherwise(3)
-    pool = seen.unionByName(first).withColumn("tier", tier)
-    pool = pool.join(last_served.select("learner", F.col("item_id").alias("_last")), "learner", "left").where(F.col("_last").isNull() | (F.col("_last") != F.col("item_id")))
+    last = last_served.select("learner", F.col("item_id").alias("_last"))
+    seen = sched.join(items, "item_id").select("learner", "item_id", "pos", "streak", "due").join(last, "learner", "left").where(F.col("_last").isNull() | (F.col("_last") != F.col("item_id"))).drop("_last")
+    overdue = seen.where(F.col("due") <= now).select("learner").distinct()
+    open_ = learners.join(overdue, "learner", "left_anti").join(sched.groupBy("learner").agg(F.count(F.lit(1)).alias("_n")), "learner")
+    track = items.select("pos", "item_id").withColumn("_at", F.row_number().over(Window.orderBy("pos", "item_id")))  # one row an item of the bank
+    near = open_.withColumn("_at", F.explode(F.sequence(F.lit(1), (F.col("_n") + 2).cast("int")))).join(track, "_at").select("learner", "pos", "item_id")
+    fresh = near.join(sched.select("learner", "item_id"), ["learner", "item_id"], "left_anti").join(last, "learner", "left").where(F.col("_last").isNull() | (F.col("_last") != F.col("item_id")))
+    first = fresh.groupBy("learner").agg(F.min(F.struct("pos", "item_id")).alias("x")).select("learner", F.col("x.item_id").alias("item_id"), F.col("x.pos").alias("pos"), F.lit(None).cast("int").alias("streak"), F.lit(None).cast("bigint").alias("due"))
+    pool = seen.unionByName(first).withColumn("tier", F.when(F.col("due").isNull(), 2).when(F.col("due") <= now, 1).otherwise(3))
     best = F.struct("tier", F.when(F.col("tier") == 1, F.col("due")).alias("d1"), F.when(F.col("tier") == 3, F.col("streak")).alias("s3"), F.when(F.col("tier") == 3, F.col("due")).alias("d3"), "pos", "item_id")
     return pool.groupBy("learner").agg(F.min(best).alias("b")).select("learner", F.col("b.item_id").alias("item_id"), F.col("b.tier").alias("tier"))
 
 
-def progress(scores: DataFrame, track: DataFrame) -> DataFrame:
-    """learner, pub_id, section, n_items, attempted, mastered, pct from latest scores and a track (pub_id, section, item_id)."""
-    size = track.groupBy("pub_id", "section").agg(F.count(F.lit(1)).alias("n_items"))
-    done = scores.join(track, "item_id").groupBy("learner", "pub_id", "section").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("score") >= 1.0).alias("mastered"))
-    return done.join(F.broadcast(size), ["pub_id", "section"]).withColumn("pct", F.bround(100.0 * F.col("attempted") / F.col("n_items")).cast("int"))
+def _servable(track: DataFrame, servable: DataFrame | None) -> DataFrame:
+    """The track's items (pub_id, section, item_id, …) that may be served; all of them where no list of such items is given."""
+    return track if servable is None else track.join(servable.select("item_id").distinct(), "item_id", "left_semi")
+
+
+def progress(scores: DataFrame, track: DataFrame, servable: DataFrame | None = None) -> DataFrame:
+    """learner, pub_id, section, n_items, attempted, mastered, state: every section with servable items for every learner of ``scores`` (latest scores).
+
+    state: mastered (all items), shaky (some attempt) or new (none).  A row a learner and section is the result
+    itself; what is done is counted by key before it meets the sections.
+    """
+    own = _servable(track, servable)
+    sections = own.groupBy("pub_id", "section").agg(F.count(F.lit(1)).alias("n_items"))
+    done = scores.join(own, "item_id").groupBy("learner", "pub_id", "section").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("score") >= 1.0).alias("m"))
+    every = scores.select("learner").distinct().crossJoin(sections)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    met = every.join(done, ["learner", "pub_id", "section"], "left").select("learner", "pub_id", "section", "n_items", zero("a").alias("attempted"), zero("m").alias("mastered"))
+    return met.withColumn("state", F.when(F.col("mastered") == F.col("n_items"), "mastered").when(F.col("attempted") > 0, "shaky").otherwise("new"))
+
+
+def rolled_up(sections: DataFrame, by: list[str]) -> DataFrame:
+    """Items, attempts, mastered items and the share attempted of :func:`progress` rows by ``by``: (learner, pub_id), or learner for the whole track."""
+    g = sections.groupBy(*by).agg(F.sum("n_items").alias("n_items"), F.sum("attempted").alias("attempted"), F.sum("mastered").alias("mastered"))
+    return g.withColumn("pct", F.bround(100.0 * F.col("attempted") / F.col("n_items")).cast("int"))
+
 
+def class_overview(scores: DataFrame, track: DataFrame, servable: DataFrame | None = None, least_learners: int = 0) -> DataFrame:
+    """Per section, over all learners: items, latest scores, mastered ones, share.  No learner leaves; small cells can be held back.
 
-def class_overview(scores: DataFrame, track: DataFrame, least_learners: int = 0) -> DataFrame:
-    """Per section, over all learners: attempts, learners (a count), mastered share.  No learner leaves; small cells can be held back."""
-    per = scores.join(F.broadcast(track), "item_id").groupBy("pub_id", "section").agg(F.sum("attempts").alias("attempts"), F.countDistinct("learner").alias("learners"), F.count(F.lit(1)).alias("seen"), F.count_if(F.col("score") >= 1.0).alias("mastered"))
-    return per.where(F.col("learners") >= least_learners).withColumn("pct", F.bround(100.0 * F.col("mastered") / F.col("seen")).cast("int"))
+    Sections that nobody attempted stay, with zeros.
+    """
+    own = _servable(track, servable)
+    per = scores.groupBy("item_id").agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("score") >= 1.0).alias("m"))
+    sections = own.join(per, "item_id", "left").groupBy("pub_id", "section").agg(F.count(F.lit(1)).alias("n_items"), F.coalesce(F.sum("a"), F.lit(0)).alias("attempts"), F.coalesce(F.sum("m"), F.lit(0)).alias("mastered"))
+    out = _mastery(sections)
+    if least_learners:
+        who = scores.join(own, "item_id").groupBy("pub_id", "section").agg(F.countDistinct("learner").alias("_l"))
+        out = out.join(who, ["pub_id", "section"], "left").where(F.coalesce("_l", F.lit(0)) >= least_learners).drop("_l")
+    return out
+
+
+def _mastery(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("pct", F.when(F.col("attempts") == 0, 0).otherwise(F.bround(100.0 * F.col("mastered") / F.col("attempts"))).cast("int"))
+
+
+def class_totals(scores: DataFrame, sections: DataFrame) -> DataFrame:
+    """One row: learners (a count), and the sums of :func:`class_overview`."""
+    n = scores.agg(F.count_distinct("learner").alias("n_learners"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return _mastery(n.crossJoin(F.broadcast(sections.agg(zero("n_items"), zero("attempts"), zero("mastered")))))
 
 
 def calibration(attempts: DataFrame) -> DataFrame:
-    """confidence, n, stated, actual, gap."""
-    g = attempts.where("confidence IS NOT NULL").groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("a"))
+    """learner, confidence, n, stated, actual, gap: each learner's stated against actual success by confidence 1 to 4."""
+    g = attempts.where("confidence IS NOT NULL").groupBy("learner", "confidence").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("a"))
     stated = (F.col("confidence") - 1) / 3
-    return g.select("confidence", "n", F.bround(stated, 3).alias("stated"), F.bround("a", 3).alias("actual"), F.bround(F.col("a") - stated, 3).alias("gap"))
+    three = lambda c: maths.round_exact(c, 3)
+    return g.select("learner", "confidence", "n", three(stated).alias("stated"), three(F.col("a")).alias("actual"), three(F.col("a") - stated).alias("gap"))
+
+
+def overconfidence(buckets: DataFrame, least_gap: float = -0.15) -> DataFrame:
+    """learner, n, overconfident_share (of attempts in buckets of :func:`calibration` below ``least_gap``), worst_confidence (lowest gap, then lowest confidence)."""
+    g = buckets.groupBy("learner").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("gap") < least_gap, F.col("n"))), F.lit(0)).alias("o"), F.min(F.struct("gap", "confidence")).alias("w"))
+    return g.select("learner", "n", maths.round_exact(F.col("o") / F.col("n"), 3).alias("overconfident_share"), F.col("w.confidence").alias("worst_confidence"))
 
 
 def history(attempts: DataFrame, items: DataFrame, reviews: DataFrame, n: int) -> DataFrame:
@@ -97,9 +148,13 @@ def bulk_decision(flags: Column) -> Column:
     return F.when(flags.isNull(), "unchecked").when(F.size(flags) == 0, "approve").otherwise("flagged")
 
 
+#: Fixed value: verbs that make an instruction without a question mark.
+IMPERATIVE = r"(?i)^\s*(describe|explain|list|name|identify|state|define|compare|contrast|summari[sz]e|outline|discuss|give|provide|distinguish)"
+
+
 def shape_flags(question: Column, points: Column) -> Column:
     q = F.coalesce(question, F.lit(""))
-    imperative = q.rlike(r"(?i)^\s*(describe|explain|list|name|identify|state|define|compare|contrast|summari[sz]e|outline|discuss|give|provide|distinguish)")
+    imperative = q.rlike(IMPERATIVE)
     leaked = F.exists(points, lambda p: tx.overlap(tx.content_tokens(q), tx.content_tokens(p)) >= 0.60)
     thin = F.exists(points, lambda p: F.size(tx.content_tokens(p)) < 2)
     shape = (F.length(F.trim(q)) < 25) | (~q.contains("?") & ~imperative) | (F.size(points) == 0) | thin

@@ -60,13 +60,14 @@ def verified(bundle: dict, key: bytes) -> bool:
 def missing_publications(named: DataFrame, loaded: DataFrame) -> DataFrame:
     """Rows of ``named`` (…, pub) that no loaded publication equals or is a prefix of, in either direction.
 
-    Candidates come from equal prefixes of four characters, so this is an equi-join; shorter names compare as
-    they are.
+    Every prefix of a name, itself and the empty one too, is a key: a loaded name meets the prefixes of what was
+    named, and a name meets the prefixes of what is loaded.  Names are short, and both joins are equi-joins.
     """
-    head = lambda c: F.substring(c, 1, 4)
-    have = loaded.select(F.col("pub").alias("_have")).distinct()
-    hit = (F.col("pub") == F.col("_have")) | F.startswith("pub", F.col("_have")) | F.startswith(F.col("_have"), F.col("pub"))
-    return named.withColumn("_h", head("pub")).join(have.withColumn("_h2", head("_have")), (F.col("_h") == F.col("_h2")) & hit, "left_anti").drop("_h")
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.left(F.col(c), n)))
+    asked, have = named.select("pub").distinct(), loaded.select(F.col("pub").alias("_have")).distinct()
+    longer = asked.select("pub", prefixes("pub").alias("_have")).join(have, "_have", "left_semi").select("pub")
+    shorter = asked.join(have.select(prefixes("_have").alias("pub")), "pub", "left_semi")
+    return named.join(longer.unionByName(shorter), "pub", "left_anti").select(*named.columns)
 
 
 def canonical(df: DataFrame, columns: list[str], name: str = "canonical") -> DataFrame:

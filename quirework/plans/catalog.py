@@ -13,10 +13,13 @@ from ..operators import gates
 from ..operators import grounding as gr
 from ..operators import layout as lay
 from ..operators import learning as lr
+from ..operators import lexical as lx
 from ..operators import records as rec
 from ..operators import retrieval as rt
 from ..operators import verification as vf
+from ..sources import shared
 from ..sources import tables as src
+from . import lexical_sql as ls
 from . import tables as tb
 
 QUERIES: dict = {}
@@ -40,44 +43,55 @@ def _with(*views: str) -> str:
 
 # -- retrieval
 
-_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-_BM25 = rf"""tok AS (SELECT doc_id, len({_TOK}) AS size, unnest({_TOK}) AS term FROM documents),
-post AS (SELECT term, doc_id, size, count(*) AS f FROM tok GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(len({_TOK})) AS a FROM documents),
-qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) WHERE length(term) >= 2 GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, a FROM df, st),
-sc AS (SELECT query_id, doc_id, round(-sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a))), 6) AS score FROM qt JOIN idf USING (term) JOIN post USING (term) GROUP BY ALL),
-bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS INTEGER) AS rank FROM sc)"""
-_OVER = """nt AS (SELECT query_id, count(*) AS k FROM qt GROUP BY 1),
-ov AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
-  SELECT query_id, doc_id, round(count(*) / any_value(k)::DOUBLE, 6) AS score FROM qt JOIN post USING (term) JOIN nt USING (query_id) GROUP BY ALL))"""
-_FUSED = """fu AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + b.rank), 0) + coalesce(1 / (60 + o.rank), 0), 9) AS score, b.rank AS first_rank, o.rank AS second_rank
-  FROM (SELECT * FROM bm WHERE rank <= 50) b FULL JOIN (SELECT * FROM ov WHERE rank <= 50) o USING (query_id, doc_id)),
-hy AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(first_rank, 1000000 + second_rank)) AS INTEGER) AS rank FROM fu)"""
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')".format
+_OVER = rf"""op AS (SELECT DISTINCT doc_id, unnest({_TOK('text')}) AS term FROM documents),
+ot AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK('text')}) AS term FROM benchmark) WHERE length(term) >= 2 GROUP BY ALL),
+nt AS (SELECT query_id, count(*) AS k FROM ot GROUP BY 1),
+ov AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
+  SELECT query_id, doc_id, round(count(*) / any_value(k)::DOUBLE, 6) AS score FROM ot JOIN op USING (term) JOIN nt USING (query_id) GROUP BY ALL))"""
+
+
+def _fused(depth: int = 50) -> str:
+    return f"""fu AS (SELECT query_id, doc_id, round(coalesce(1 / (60 + b.rank), 0) + coalesce(1 / (60 + o.rank), 0), 9) AS score, b.rank AS first_rank, o.rank AS second_rank, b.score AS first_score
+  FROM (SELECT * FROM bm WHERE rank <= {depth}) b FULL JOIN (SELECT * FROM ov WHERE rank <= {depth}) o USING (query_id, doc_id)),
+hy AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(first_rank, 1000000 + second_rank)) AS INTEGER) AS rank FROM fu)"""
+
+
+_FUSED = _fused()
+_BM25 = ls.BM25
+_FOUND = "CASE WHEN second_rank IS NULL THEN 'bm25' WHEN first_rank IS NULL THEN 'overlap' ELSE 'bm25+overlap' END"
 
 
 def _bm25(spark, d, k):
-    return rt.bm25(src.table(spark, d, "documents").select("doc_id", "text"), src.table(spark, d, "benchmark"), k, "doc_id", "item_id")
+    docs = src.table(spark, d, "documents")
+    return lx.bm25(lx.index_of(docs, "doc_id"), src.table(spark, d, "benchmark"), k, "item_id")
 
 
-def _hybrid(spark, d):
+def _hybrid(spark, d, depth: int | None = None):
+    """Lexical hits fused with word overlap, which stands where a list of nearest vectors would: no question has a vector here."""
     docs, q = src.table(spark, d, "documents").select("doc_id", "text"), src.table(spark, d, "benchmark")
     s = Search()
-    return rt.fuse(_bm25(spark, d, s.bm25_k), rt.overlap_list(docs, q, s.dense_k, "doc_id", "item_id"), "doc_id", s.rrf_k)
+    return rt.fuse(_bm25(spark, d, depth or s.bm25_k), rt.overlap_list(docs, q, depth or s.dense_k, "doc_id", "item_id"), "doc_id", s.rrf_k, ("bm25", "overlap"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All questions against the written index: phrases, stems, accents folded."""
     return _bm25(spark, d, 10)
 
 
-@query(f"WITH {_BM25}, {_OVER} SELECT query_id, doc_id, score, rank FROM ov WHERE rank <= 10")
+@query(f"WITH {_BM25} SELECT stem AS term, count(DISTINCT doc_id) AS df, count(*) AS n FROM lp GROUP BY 1")
+def index_vocabulary(spark, d):
+    """Built anew from the table: each stem's rows and occurrences."""
+    return lx.postings(src.table(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places").cast("long")).alias("n"))
+
+
+@query(f"WITH {_OVER} SELECT query_id, doc_id, score, rank FROM ov WHERE rank <= 10")
 def overlap_topk(spark, d):
     return rt.overlap_list(src.table(spark, d, "documents"), src.table(spark, d, "benchmark"), 10, "doc_id", "item_id")
 
 
-@query(f"WITH {_BM25}, {_OVER}, {_FUSED} SELECT query_id, doc_id, score, first_rank, second_rank, CASE WHEN second_rank IS NULL THEN 'bm25' WHEN first_rank IS NULL THEN 'dense' ELSE 'bm25+dense' END AS found_by, rank FROM hy")
+@query(f"WITH {_BM25}, {_OVER}, {_FUSED} SELECT query_id, doc_id, score, first_rank, second_rank, first_score, {_FOUND} AS found_by, rank FROM hy")
 def rrf_fusion(spark, d):
     return _hybrid(spark, d)
 
@@ -89,13 +103,63 @@ def hybrid_search(spark, d):
     return docs.join(best, "doc_id").select("query_id", "rank", "doc_id", "score", "source", "lang", "n_chars")
 
 
-@query(f"""WITH {_BM25}, hit AS (SELECT query_id, rank FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10 AND contains(d.text, b.text)),
-r AS (SELECT item_id, min(rank) AS rank FROM benchmark LEFT JOIN hit ON query_id = item_id GROUP BY 1)
-SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 8 THEN 1.0 ELSE 0 END), 6) AS recall_8, round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr FROM r""")
+def _reranked_sql(k: int, depth: int = 50) -> str:
+    """The stand-in scorer: the share of the question's distinct words that source and text hold, in tenths of their number from -5 to 5."""
+    return f"""{_fused(depth)},
+cw AS (SELECT query_id, doc_id, rank AS fused_rank, first_score, contains(d.text, b.text) AS relevant, list_distinct({_TOK('b.text')}) AS q, {_TOK("d.source || chr(10) || coalesce(d.text, '')")} AS t FROM hy JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id),
+rs AS (SELECT query_id, doc_id, fused_rank, first_score, relevant, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / len(q) END * 10 - 5, 6) AS rerank_score FROM cw),
+rr AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS INTEGER) AS rank FROM rs)"""
+
+
+def _overlap_scorer(question, document):
+    return F.round(tx.overlap(tx.tokens(document), tx.tokens(question)) * 10 - 5, 6)
+
+
+def _reranked(spark, d, k: int, depth: int | None = None) -> DataFrame:
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = src.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("document"), F.col("text").alias("own_text"))
+    met = docs.join(_hybrid(spark, d, depth).select("query_id", "doc_id", F.col("rank").alias("fused_rank"), "first_score"), "doc_id").join(q, "query_id")
+    return rt.rerank(met.withColumn("relevant", F.contains("own_text", "question")), _overlap_scorer, k).select("query_id", "doc_id", "fused_rank", "first_score", "relevant", "rerank_score", "rank")
+
+
+@query(f"WITH {_BM25}, {_OVER}, {_reranked_sql(8)} SELECT query_id, doc_id, fused_rank, first_score, relevant, rerank_score, rank FROM rr WHERE rank <= 8")
+def hybrid_rerank(spark, d):
+    """All fused hits scored again from their whole texts, the best eight kept; the lexical score travels with them."""
+    return _reranked(spark, d, Search().final_k)
+
+
+_RECALL = """SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 8 THEN 1.0 ELSE 0 END), 6) AS recall_8, round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr"""
+
+
+def _recall_sql(rank: str, where: str) -> str:
+    return f"{_RECALL} FROM (SELECT item_id, min({rank}) AS rank FROM benchmark LEFT JOIN (SELECT * FROM rr WHERE relevant AND {where}) ON query_id = item_id GROUP BY 1)"
+
+
+@query(f"WITH {_BM25}, {_OVER}, {_reranked_sql(8)} SELECT 'fused' AS stage, * FROM ({_recall_sql('fused_rank', 'true')}) UNION ALL SELECT 'reranked', * FROM ({_recall_sql('rank', 'rank <= 8')})")
 def recall_mrr(spark, d):
-    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
-    hits = _bm25(spark, d, 10).join(src.table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(q, "query_id")
-    return rt.recall(hits.select("query_id", "rank", F.contains("text", "q_text").alias("relevant")), q)
+    """Recall and mean reciprocal rank of all fused hits, and of the eight kept after scoring again; a hit is a document that holds the question's passage."""
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    r = shared.saved(_reranked(spark, d, 10**6), "reranked")
+    stages = [("fused", r.select("query_id", F.col("fused_rank").alias("rank"), "relevant")), ("reranked", r.where(F.col("rank") <= Search().final_k).select("query_id", "rank", "relevant"))]
+    first, second = (rt.recall(hits, q).select(F.lit(name).alias("stage"), "*") for name, hits in stages)
+    return first.unionByName(second)
+
+
+_DEEP = f"""tp AS (SELECT query_id, max(rerank_score) FILTER (WHERE fused_rank <= 50) AS top, max(rerank_score) AS deep_top FROM rr GROUP BY 1),
+nm AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all('see FM 3-' || (item_id % 4) || ' and MCDP ' || (item_id % 3) || ': ' || text, '{tx.PUB_MENTION}', 1), lambda p: trim(regexp_replace(translate(upper(p), '.', '-'), '\\s+', ' ', 'g')))) AS pubs FROM benchmark),
+ms AS (SELECT item_id, list_filter(pubs, lambda p: NOT (p = 'MCDP 1' OR starts_with(p, 'MCDP 1') OR starts_with('MCDP 1', p) OR p = 'FM 3' OR starts_with(p, 'FM 3') OR starts_with('FM 3', p))) AS missing FROM nm)"""
+
+
+@query(f"WITH {_BM25}, {_OVER}, {_reranked_sql(5, 800)}, {_DEEP} SELECT item_id, deep_top, len(missing) AS n_missing, CASE WHEN deep_top >= 4.5 THEN 'FINDABILITY' WHEN len(missing) > 0 THEN 'CORPUS' ELSE 'DOCTRINAL' END AS kind FROM ms LEFT JOIN tp ON query_id = item_id")
+def deep_gaps(spark, d):
+    """Each question searched 800 deep and classed: an answer lies deeper, a named publication is not loaded, or neither."""
+    deep = _reranked(spark, d, 5, 800).groupBy("query_id").agg(F.max("rerank_score").alias("deep_top"))
+    asked = F.concat(F.lit("see FM 3-"), F.col("item_id") % 4, F.lit(" and MCDP "), F.col("item_id") % 3, F.lit(": "), F.col("text"))
+    q = src.table(spark, d, "benchmark").select("item_id", tx.pub_mentions(asked).alias("pubs"))
+    loaded = spark.createDataFrame([("MCDP 1",), ("FM 3",)], "pub string")
+    missing = rec.missing_publications(q.select("item_id", F.explode("pubs").alias("pub")), loaded).groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
+    met = q.select("item_id").join(missing, "item_id", "left").join(deep.withColumnRenamed("query_id", "item_id"), "item_id", "left").withColumn("n_missing", F.coalesce("m", F.lit(0)))
+    return met.select("item_id", "deep_top", "n_missing", gates.gap_class(F.col("deep_top"), 4.5, F.col("n_missing")).alias("kind"))
 
 
 @query("""WITH w AS (SELECT vec_id, vec_id // 3 AS chunk_id, embedding FROM embeddings),
@@ -162,9 +226,9 @@ def navigation_filter(spark, d):
     return tb.chunks(spark, d).select("id", tx.navigation("text", "pub_id", "section").alias("navigation"))
 
 
-@query(_with(tb.CHUNKS) + r"""SELECT id, regexp_replace(lower(pub_id), '[^a-z0-9]', '', 'g') || '-c' || chapter || '-' || substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 10) || '-' || pos AS item_id FROM chunks""")
+@query(_with(tb.CHUNKS) + r"""SELECT id, regexp_replace(upper(pub_id[1]) || lower(pub_id[2:]), '[^A-Za-z0-9]', '', 'g') || '-c' || chapter || '-' || substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 10) || '-' || pos AS item_id FROM chunks""")
 def item_ids(spark, d):
-    return tb.chunks(spark, d).select("id", tx.item_id("pub_id", "chapter", "text", "pos").alias("item_id"))
+    return tb.chunks(spark, d).withColumn("pub_id", F.initcap("pub_id")).select("id", tx.item_id("pub_id", "chapter", "text", "pos").alias("item_id"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.REVIEW_STOP) + "]"
@@ -211,41 +275,53 @@ def score_gate(spark, d):
     return tb.records(spark, d).select("id", gates.score_gate(F.col("n_claims"), F.col("top_score"), 3.0, -F.col("min_support") * 10, 8.0).alias("reason"))
 
 
-_ANS = "error IS NULL AND NOT declined AND (score_thr IS NULL OR coalesce(top_score >= score_thr, false)) AND (support_thr IS NULL OR n_claims = 0 OR min_support >= support_thr)"
-_CONF = f"""count(*) FILTER (WHERE kind = 'in') AS n_in, count(*) FILTER (WHERE kind = 'out') AS n_out, count(*) FILTER (WHERE kind = 'in' AND NOT ({_ANS})) AS refused, count(*) FILTER (WHERE kind = 'out' AND ({_ANS})) AS answered,
-round(count(*) FILTER (WHERE kind = 'in' AND NOT ({_ANS})) / greatest(count(*) FILTER (WHERE kind = 'in'), 1), 6) AS over_refusal, round(count(*) FILTER (WHERE kind = 'out' AND ({_ANS})) / greatest(count(*) FILTER (WHERE kind = 'out'), 1), 6) AS false_answer"""
+_ANS = "NOT declined AND (score_thr IS NULL OR coalesce(top_score >= score_thr, false)) AND (support_thr IS NULL OR n_claims = 0 OR coalesce(min_support >= support_thr, false))"
+_COUNTS = """count(*) FILTER (WHERE kind = 'in') AS n_in, count(*) FILTER (WHERE kind = 'out' AND NOT expects) AS n_out, count(*) FILTER (WHERE kind = 'out' AND expects) AS n_traps,
+count(*) FILTER (WHERE kind = 'in' AND NOT a) AS refused, count(*) FILTER (WHERE kind = 'out' AND NOT expects AND a) AS false_answers, count(*) FILTER (WHERE kind = 'out' AND expects AND NOT a) AS trap_missed"""
+_RATES = "refused / greatest(n_in, 1) AS over_refusal, false_answers / greatest(n_out, 1) AS false_answer"
 
 
-@query(_with(tb.RECORDS) + f"SELECT pub_id, {_CONF} FROM (SELECT *, 0.0::DOUBLE AS score_thr, 0.3::DOUBLE AS support_thr FROM records) WHERE error IS NULL GROUP BY pub_id")
+@query(_with(tb.RECORDS) + f"SELECT *, {_RATES} FROM (SELECT pub_id, {_COUNTS} FROM (SELECT *, {_ANS} AS a FROM (SELECT *, 0.0::DOUBLE AS score_thr, 0.3::DOUBLE AS support_thr FROM records WHERE error IS NULL)) GROUP BY pub_id)")
 def gate_confusion(spark, d):
     r = tb.records(spark, d).withColumn("score_thr", F.lit(0.0)).withColumn("support_thr", F.lit(0.3))
     return ev.confusion(r, ["pub_id"])
 
 
-def _grid(v: str) -> str:
-    return f"""(WITH x AS (SELECT list({v} ORDER BY {v}) AS v FROM records WHERE {v} IS NOT NULL AND error IS NULL)
-    SELECT CAST(g AS INTEGER) AS g, round(CASE WHEN g = 0 THEN NULL WHEN g = 1 THEN v[1] - 1 ELSE (v[j] * (20 - (i * m - j * 20)) + v[j + 1] * (i * m - j * 20)) / 20 END, 6) AS t
-    FROM (SELECT *, greatest(1, least(i * m // 20, len(v) - 1)) AS j FROM (SELECT v, len(v) + 1 AS m, g, g - 1 AS i FROM x, range(0, 21) r(g))))"""
+def _grid(v: str, first: str, places: int) -> str:
+    """Off, ``first`` (further points), and statistics' exclusive quantiles; format() rounds a double's own value, half to even."""
+    return f"""(WITH x AS (SELECT list({v} ORDER BY {v}) AS v FROM records WHERE {v} IS NOT NULL AND error IS NULL),
+    q AS (SELECT list((v[j] * (20 - (i * m - j * 20)) + v[j + 1] * (i * m - j * 20)) / 20 ORDER BY i) AS q FROM (SELECT v, len(v) + 1 AS m, i, greatest(1, least(i * (len(v) + 1) // 20, len(v) - 1)) AS j FROM x, range(1, 20) r(i))),
+    p AS (SELECT list_concat([CAST(NULL AS DOUBLE)], list_concat({first}, q)) AS p FROM x, q)
+    SELECT CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS g, CAST(format('{{:.{places}f}}', unnest(p)) AS DOUBLE) AS t FROM p)"""
+
 
+_SCORES, _SUPPORTS = _grid("top_score", "[v[1] - 1]", 2), _grid("min_support", "CAST([] AS DOUBLE[])", 3)
 
-@query(_with(tb.RECORDS) + f"SELECT a.g AS g1, a.t AS score_thr, b.g AS g2, b.t AS support_thr, {_CONF.replace('score_thr', 'a.t').replace('support_thr', 'b.t')} FROM records, {_grid('top_score')} a, {_grid('min_support')} b WHERE error IS NULL GROUP BY ALL")
+
+@query(_with(tb.RECORDS) + f"SELECT *, {_RATES} FROM (SELECT g1, score_thr, g2, support_thr, {_COUNTS} FROM (SELECT *, {_ANS} AS a FROM (SELECT records.*, s.g AS g1, s.t AS score_thr, u.g AS g2, u.t AS support_thr FROM records, {_SCORES} s, {_SUPPORTS} u WHERE error IS NULL)) GROUP BY g1, score_thr, g2, support_thr)")
 def threshold_grid(spark, d):
+    """21 score points (off, below all, 19 quantiles) by 20 support points (off, 19 quantiles)."""
     r = tb.records(spark, d)
     ok = r.where("error IS NULL")
-    return ev.sweep(r, ev.quantile_grid(ok, "top_score"), ev.quantile_grid(ok, "min_support"))
+    return ev.sweep(r, ev.quantile_grid(ok, "top_score"), ev.quantile_grid(ok, "min_support", below=False, places=3))
 
 
-@query(_with(tb.RECORDS) + f"SELECT g AS grid_no, t AS top_score FROM {_grid('top_score')}")
+@query(_with(tb.RECORDS) + f"SELECT g AS grid_no, t AS top_score FROM {_SCORES}")
 def exclusive_quantiles(spark, d):
     return ev.quantile_grid(tb.records(spark, d).where("error IS NULL"), "top_score")
 
 
-@query(_with(tb.RECORDS) + "SELECT pub_id, count(*) AS n, round(min(top_score), 2) AS lo, round(median(top_score), 2) AS mid, round(max(top_score), 2) AS hi FROM records WHERE error IS NULL AND top_score IS NOT NULL GROUP BY 1")
-def pub_distribution(spark, d):
-    return ev.distribution(tb.records(spark, d))
+_OFF = "l AS (SELECT pub_id, count(*) AS n, quantile_cont(top_score, 0.5) AS loc FROM records WHERE error IS NULL AND kind = 'in' AND top_score IS NOT NULL GROUP BY 1), r AS (SELECT median(loc) AS ref FROM l WHERE n >= 5), o AS (SELECT pub_id, n, round(loc, 6) AS location, CASE WHEN n >= 5 THEN round(ref - loc, 3) END AS \"offset\", n < 5 AS skipped FROM l, r)"
 
 
-_OFF = "l AS (SELECT pub_id, count(*) AS n, quantile_cont(top_score, 0.5) AS loc FROM records WHERE error IS NULL AND kind = 'in' AND top_score IS NOT NULL GROUP BY 1), r AS (SELECT median(loc) AS ref FROM l WHERE n >= 5), o AS (SELECT pub_id, n, round(loc, 6) AS location, CASE WHEN n >= 5 THEN round(ref - loc, 3) END AS \"offset\", n < 5 AS skipped FROM l, r)"
+_two = "CAST(format('{{:.2f}}', {}) AS DOUBLE)".format
+
+
+@query(_with(tb.RECORDS, _OFF) + f"""SELECT pub_id, k AS n, {_two('lo')} AS lo, {_two('m')} AS mid, {_two('hi')} AS hi, coalesce("offset", 0.0) AS "offset", {_two('m + coalesce("offset", 0.0)')} AS mid_after
+FROM (SELECT pub_id, count(*) AS k, min(top_score) AS lo, median(top_score) AS m, max(top_score) AS hi FROM records WHERE error IS NULL AND kind = 'in' AND top_score IS NOT NULL GROUP BY 1) LEFT JOIN o USING (pub_id)""")
+def pub_distribution(spark, d):
+    r = tb.records(spark, d)
+    return ev.distribution(r, ev.offsets(r, 5))
 
 
 @query(_with(tb.RECORDS, _OFF) + "SELECT * FROM o")
@@ -286,12 +362,18 @@ def xapi_statements(spark, d):
     return rec.statements(tb.interactions(spark, d))
 
 
-@query("""SELECT DISTINCT p_name AS pub FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand AS b FROM part) WHERE p_name = b OR starts_with(p_name, b) OR starts_with(b, p_name))
-UNION ALL SELECT DISTINCT p_type FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT p_brand AS b FROM part) WHERE p_type = b OR starts_with(p_type, b) OR starts_with(b, p_type))""")
+_PUBS = """named AS (SELECT p_name AS pub FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part WHERE p_size > 20),
+loaded AS (SELECT p_brand || ' (reprint)' AS b FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_type[1:2] FROM part WHERE p_size < 2 AND p_partkey % 4 = 0 UNION SELECT p_name || ', volume 2' FROM part WHERE p_partkey % 5 = 0)"""
+
+
+@query(_with(_PUBS) + "SELECT pub FROM named WHERE NOT EXISTS (SELECT 1 FROM loaded WHERE pub = b OR starts_with(pub, b) OR starts_with(b, pub))")
 def prefix_anti_join(spark, d):
+    """Loaded names of two letters, longer ones, and names that go on where a loaded one ends, and the other way round."""
     p = src.table(spark, d, "part")
-    named = p.select(F.col("p_name").alias("pub")).distinct().unionByName(p.select(F.col("p_type").alias("pub")).distinct())
-    return rec.missing_publications(named, p.select(F.col("p_brand").alias("pub")))
+    one = lambda c, where="true": p.where(where).select(c.alias("pub"))
+    named = one(F.col("p_name")).unionByName(one(F.col("p_type"))).unionByName(one(F.col("p_brand"), "p_size > 20")).distinct()
+    loaded = one(F.concat("p_brand", F.lit(" (reprint)")), "p_partkey % 3 = 0").unionByName(one(F.substring("p_type", 1, 2), "p_size < 2 AND p_partkey % 4 = 0")).unionByName(one(F.concat("p_name", F.lit(", volume 2")), "p_partkey % 5 = 0"))
+    return rec.missing_publications(named, loaded)
 
 
 @query(_with(tb.RECORDS) + "SELECT id, CASE WHEN top_score >= 3.5 THEN 'FINDABILITY' WHEN n_claims > 0 THEN 'CORPUS' ELSE 'DOCTRINAL' END AS kind FROM records")
@@ -331,21 +413,67 @@ def next_item(spark, d):
     return lr.next_item(lr.schedule(a), tb.items(spark, d).select("item_id", "pos"), last, NOW)
 
 
-@query(_with(tb.ATTEMPTS, tb.ITEMS, "sc AS (SELECT learner, item_id, arg_max(score, seq) AS score FROM attempts GROUP BY ALL)", "z AS (SELECT pub_id, section, count(*) AS n_items FROM items GROUP BY ALL)") + "SELECT learner, pub_id, section, attempted, mastered, n_items, CAST(round_even(100.0 * attempted / n_items, 0) AS INTEGER) AS pct FROM (SELECT learner, pub_id, section, count(*) AS attempted, count(*) FILTER (WHERE score >= 1) AS mastered FROM sc JOIN items USING (item_id) GROUP BY ALL) JOIN z USING (pub_id, section)")
+_SCORED = """sc AS (SELECT learner, item_id, arg_max(score, seq) AS score FROM attempts GROUP BY ALL),
+tr AS (SELECT * FROM items WHERE item_id IN (SELECT item_id FROM reviews WHERE status <> 'rejected')),
+z AS (SELECT pub_id, section, count(*) AS n_items FROM tr GROUP BY ALL),
+dn AS (SELECT learner, pub_id, section, count(*) AS a, count(*) FILTER (WHERE score >= 1) AS m FROM sc JOIN tr USING (item_id) GROUP BY ALL),
+pg AS (SELECT learner, pub_id, section, n_items, coalesce(a, 0) AS attempted, coalesce(m, 0) AS mastered FROM (SELECT DISTINCT learner FROM sc) CROSS JOIN z LEFT JOIN dn USING (learner, pub_id, section))"""
+
+
+def _track(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Latest scores, the track, and what may be served: here all items that no reviewer has rejected."""
+    return lr.latest(tb.attempts(spark, d)), tb.items(spark, d).select("pub_id", "section", "item_id"), tb.reviews(spark, d).where("status <> 'rejected'")
+
+
+@query(_with(tb.ATTEMPTS, tb.ITEMS, tb.REVIEWS, _SCORED) + "SELECT *, CASE WHEN mastered = n_items THEN 'mastered' WHEN attempted > 0 THEN 'shaky' ELSE 'new' END AS state FROM pg")
 def progress(spark, d):
-    return lr.progress(lr.latest(tb.attempts(spark, d)), tb.items(spark, d).select("pub_id", "section", "item_id"))
+    return lr.progress(*_track(spark, d))
+
+
+def _roll(by: str) -> str:
+    return _with(tb.ATTEMPTS, tb.ITEMS, tb.REVIEWS, _SCORED) + f"SELECT {by}, CAST(sum(n_items) AS BIGINT) AS n_items, CAST(sum(attempted) AS BIGINT) AS attempted, CAST(sum(mastered) AS BIGINT) AS mastered, CAST(round_even(100.0::DOUBLE * sum(attempted) / sum(n_items), 0) AS INTEGER) AS pct FROM pg GROUP BY ALL"
+
+
+@query(_roll("learner, pub_id"))
+def progress_publications(spark, d):
+    return lr.rolled_up(lr.progress(*_track(spark, d)), ["learner", "pub_id"])
+
+
+@query(_roll("learner"))
+def progress_totals(spark, d):
+    return lr.rolled_up(lr.progress(*_track(spark, d)), ["learner"])
+
+
+_CLASS = """per AS (SELECT item_id, count(*) AS a, count(*) FILTER (WHERE score >= 1) AS m FROM sc GROUP BY 1),
+cl AS (SELECT pub_id, section, count(*) AS n_items, CAST(coalesce(sum(a), 0) AS BIGINT) AS attempts, CAST(coalesce(sum(m), 0) AS BIGINT) AS mastered FROM tr LEFT JOIN per USING (item_id) GROUP BY ALL)"""
 
 
-@query(_with(tb.ATTEMPTS, tb.ITEMS, "sc AS (SELECT learner, item_id, arg_max(score, seq) AS score, count(*) AS k FROM attempts GROUP BY ALL)") + "SELECT pub_id, section, CAST(sum(k) AS BIGINT) AS attempts, count(DISTINCT learner) AS learners, count(*) AS seen, count(*) FILTER (WHERE score >= 1) AS mastered, CAST(round_even(100.0 * count(*) FILTER (WHERE score >= 1) / count(*), 0) AS INTEGER) AS pct FROM sc JOIN items USING (item_id) GROUP BY ALL")
+@query(_with(tb.ATTEMPTS, tb.ITEMS, tb.REVIEWS, _SCORED, _CLASS) + "SELECT *, CAST(CASE WHEN attempts = 0 THEN 0 ELSE round_even(100.0 * mastered / attempts, 0) END AS INTEGER) AS pct FROM cl")
 def class_overview(spark, d):
-    return lr.class_overview(lr.latest(tb.attempts(spark, d)), tb.items(spark, d).select("pub_id", "section", "item_id"))
+    return lr.class_overview(*_track(spark, d))
 
 
-@query(_with(tb.ATTEMPTS) + "SELECT confidence, count(*) AS n, round_even((confidence - 1) / 3, 3) AS stated, round_even(avg(score), 3) AS actual, round_even(avg(score) - (confidence - 1) / 3, 3) AS gap FROM attempts GROUP BY 1")
+@query(_with(tb.ATTEMPTS, tb.ITEMS, tb.REVIEWS, _SCORED, _CLASS) + """SELECT (SELECT count(DISTINCT learner) FROM sc) AS n_learners, n_items, attempts, mastered, CAST(CASE WHEN attempts = 0 THEN 0 ELSE round_even(100.0 * mastered / attempts, 0) END AS INTEGER) AS pct
+FROM (SELECT CAST(sum(n_items) AS BIGINT) AS n_items, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(mastered) AS BIGINT) AS mastered FROM cl)""")
+def class_totals(spark, d):
+    scores, track, ok = _track(spark, d)
+    return lr.class_totals(scores, lr.class_overview(scores, track, ok))
+
+
+_three = "CAST(format('{{:.3f}}', {}) AS DOUBLE)".format
+_BUCKETS = f"bu AS (SELECT learner, confidence, n, {_three('(confidence - 1) / 3')} AS stated, {_three('a')} AS actual, {_three('a - (confidence - 1) / 3')} AS gap FROM (SELECT learner, confidence, count(*) AS n, avg(score) AS a FROM attempts GROUP BY ALL))"
+
+
+@query(_with(tb.ATTEMPTS, _BUCKETS) + "SELECT * FROM bu")
 def calibration_buckets(spark, d):
     return lr.calibration(tb.attempts(spark, d))
 
 
+@query(_with(tb.ATTEMPTS, _BUCKETS) + f"SELECT learner, CAST(sum(n) AS BIGINT) AS n, {_three('coalesce(sum(n) FILTER (WHERE gap < -0.15), 0) / sum(n)')} AS overconfident_share, arg_min(confidence, gap * 100 + confidence / 1000) AS worst_confidence FROM bu GROUP BY 1")
+def overconfidence(spark, d):
+    return lr.overconfidence(lr.calibration(tb.attempts(spark, d)))
+
+
 @query(_with(tb.ATTEMPTS, tb.ITEMS, tb.REVIEWS) + "SELECT learner, seq, a.item_id AS item_id, coalesce(nullif(edited_question, ''), question) AS question FROM (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY seq DESC) AS r FROM attempts) a LEFT JOIN items i ON i.item_id = a.item_id LEFT JOIN reviews v ON v.item_id = a.item_id WHERE r <= 20")
 def history_with_edits(spark, d):
     h = lr.history(tb.attempts(spark, d), tb.items(spark, d).select("item_id", "question"), tb.reviews(spark, d), 20)
@@ -442,9 +570,28 @@ def html_blocks(spark, d):
     return tb.blocks(spark, d)
 
 
-@query(_with(tb.BLOCKS) + r"SELECT norm, count(*) AS n FROM (SELECT regexp_replace(trim(text), '\d+', '#', 'g') AS norm FROM blocks) WHERE norm NOT IN ('', '#') GROUP BY 1 HAVING count(*) >= 3")
+_PAGED = r"""paged AS (SELECT chapter AS doc, pos // 8 AS page, pos AS line_no, (pos % 8) * 90 AS y, 720 AS height, CASE WHEN pos % 8 = 7 THEN pub_id || '  page ' || (pos // 8) WHEN pos % 8 = 6 AND chapter % 2 = 0 THEN '1-' || (pos // 8) ELSE text END AS text FROM chunks),
+nm AS (SELECT *, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\d+', '#', 'g')) AS norm FROM paged),
+fu AS (SELECT doc, norm, count(*) AS n FROM nm WHERE (y < 720 * 0.15 OR y > 720 * 0.85) AND norm NOT IN ('', '#') GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+def _paged(spark, d) -> DataFrame:
+    """Lines on pages of eight; the last of each page is a running foot, and in every other document the one before it the page's number."""
+    c, p = tb.chunks(spark, d), F.col("pos")
+    page = F.expr("pos div 8")
+    text = F.when(p % 8 == 7, F.concat("pub_id", F.lit("  page "), page.cast("string"))).when((p % 8 == 6) & (F.col("chapter") % 2 == 0), F.concat(F.lit("1-"), page.cast("string"))).otherwise(F.col("text"))
+    return c.select(F.col("chapter").alias("doc"), page.alias("page"), p.alias("line_no"), (p % 8 * 90).alias("y"), F.lit(720).alias("height"), text.alias("text"))
+
+
+@query(_with(tb.CHUNKS, _PAGED) + "SELECT doc, norm, n FROM fu")
 def furniture_lines(spark, d):
-    return lay.furniture(tb.blocks(spark, d))
+    return lay.furniture(_paged(spark, d))
+
+
+@query(_with(tb.CHUNKS, _PAGED) + rf"SELECT doc, page, line_no, text FROM nm WHERE NOT regexp_matches(trim(text), '{lay.PAGE_NUMBER}') AND NOT EXISTS (SELECT 1 FROM fu WHERE fu.doc = nm.doc AND fu.norm = nm.norm)")
+def body_lines(spark, d):
+    lines = _paged(spark, d)
+    return lay.body_lines(lines, lay.furniture(lines)).select("doc", "page", "line_no", "text")
 
 
 @query(_with(tb.BLOCKS) + """, l AS (SELECT page_id AS doc, block_no, tag LIKE 'h%' AS heading, block_no * 12 + (length(text) % 3) * 10 AS y FROM blocks),
@@ -466,14 +613,21 @@ def outline_asof(spark, d):
     return lay.outline_asof(b.where("tag = 'p'").select(F.col("page_id").alias("doc"), F.col("block_no").alias("pos")), outline)
 
 
+_MARKED = ["CUI", "controlled unclassified", "FOUO", "For Official  Use Only", "NOFORN noforn", "top secret", "CONFIDENTIAL", "TOP SECRET", "Law Enforcement Sensitive", "EXPORT CONTROL", "ITAR itar CUIS"]
+
+
 def _screen_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS mark_no, CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS exact, CAST(len(regexp_extract_all(text, '(?i){p}')) AS INTEGER) AS loose FROM documents" for i, (p, _) in enumerate(lay.MARKS))
-    return f"SELECT * FROM ({rows}) WHERE loose > 0"
+    rows = " UNION ALL ".join(f"SELECT doc_id, {i} AS mark_no, CAST(len(regexp_extract_all(text, '{p}')) AS INTEGER) AS exact, CAST(len(regexp_extract_all(text, '(?i){p}')) AS INTEGER) AS loose FROM marked" for i, p in enumerate(lay.MARKS))
+    case = " ".join(f"WHEN {i} THEN text || ' {m}.'" for i, m in enumerate(_MARKED))
+    return f"WITH marked AS (SELECT doc_id, CASE doc_id % 40 {case} ELSE text END AS text FROM documents) SELECT * FROM ({rows}) WHERE loose > 0"
 
 
 @query(_screen_sql())
 def marking_screen(spark, d):
-    return lay.screen(src.table(spark, d, "documents"), "doc_id")
+    """The documents' texts, of which some end in one of the marks."""
+    mark = F.element_at(F.array(*[F.lit(f" {m}.") for m in _MARKED]), (F.col("doc_id") % 40 + 1).cast("int"))
+    text = F.when(F.col("doc_id") % 40 < len(_MARKED), F.concat("text", mark)).otherwise(F.col("text"))
+    return lay.screen(src.table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id")
 
 
 @query("""WITH f AS (SELECT doc_id, CAST(toxic + (1 - quality) AS INTEGER) AS exact, 0 AS mark_no FROM labels), a AS (SELECT doc_id, 1 AS exact FROM labels WHERE doc_id % 5 = 0),

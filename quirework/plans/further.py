@@ -178,7 +178,7 @@ def label_match(spark, d):
     return ev.label_match(hits, docs.where("doc_id % 9 = 0 AND query_id < 7")).select("doc_id", "relevant", "cited_relevant")
 
 
-@query(f"SELECT *, round(over_refusal + false_answer, 6) AS total FROM ({SQL['threshold_grid']}) ORDER BY total, answered, g1, g2 LIMIT 1")
+@query(f"SELECT *, false_answer + over_refusal AS total FROM ({SQL['threshold_grid']}) ORDER BY total, trap_missed, g1, g2 LIMIT 1")
 def best_operating_point(spark, d):
     return ev.best_point(threshold_grid(spark, d))
 

@@ -9,11 +9,12 @@ from ..sources import tables as src
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as chunks.  id: doc_id, then 28 bits for the line, more than a text of 2 GB can have lines with a word on them."""
     docs = src.table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return docs.select((F.col("doc_id") * 100000 + F.col("pos") + 1).alias("id"), F.col("source").alias("pub_id"), F.col("lang").alias("section"), F.col("doc_id").alias("chapter"), "pos", "text", F.length("text").alias("n_chars"))
+    return docs.select((F.shiftleft("doc_id", 28) + F.col("pos") + 1).alias("id"), F.col("source").alias("pub_id"), F.col("lang").alias("section"), F.col("doc_id").alias("chapter"), "pos", "text", F.length("text").alias("n_chars"))
 
 
-CHUNKS = """chunks AS (SELECT doc_id * 100000 + i AS id, source AS pub_id, lang AS section, doc_id AS chapter, CAST(i - 1 AS INTEGER) AS pos, t AS text, CAST(length(t) AS INTEGER) AS n_chars
+CHUNKS = """chunks AS (SELECT doc_id * 268435456 + i AS id, source AS pub_id, lang AS section, doc_id AS chapter, CAST(i - 1 AS INTEGER) AS pos, t AS text, CAST(length(t) AS INTEGER) AS n_chars
   FROM (SELECT doc_id, source, lang, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)))"""
 
 
@@ -54,13 +55,13 @@ REVIEWS = """reviews AS (SELECT doc_id AS item_id, CASE WHEN quality IS NULL THE
 def records(spark: SparkSession, d: str) -> DataFrame:
     j = src.table(spark, d, "documents").select("doc_id", "source", "n_chars").join(src.table(spark, d, "labels"), "doc_id")
     return j.select(
-        F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "in").otherwise("out").alias("kind"), F.col("source").alias("pub_id"),
+        F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "in").otherwise("out").alias("kind"), F.col("source").alias("pub_id"), (F.col("doc_id") % 4 == 0).alias("expects"),
         F.when(F.col("doc_id") % 11 != 0, F.round(F.col("n_chars") % 1000 / 100.0 - 5, 3)).alias("top_score"), (F.col("n_chars") % 101 / 100.0).alias("min_support"),
         (F.col("n_chars") % 3).alias("n_claims"), (F.col("doc_id") % 17 == 0).alias("declined"), F.when(F.col("doc_id") % 29 == 0, "timeout").alias("error"), (F.col("n_chars") / 1000.0).alias("latency"),
     )
 
 
-RECORDS = """records AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'in' ELSE 'out' END AS kind, source AS pub_id,
+RECORDS = """records AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'in' ELSE 'out' END AS kind, source AS pub_id, doc_id % 4 = 0 AS expects,
   CASE WHEN doc_id % 11 <> 0 THEN round(n_chars % 1000 / 100.0::DOUBLE - 5, 3) END AS top_score, n_chars % 101 / 100.0::DOUBLE AS min_support,
   n_chars % 3 AS n_claims, doc_id % 17 = 0 AS declined, CASE WHEN doc_id % 29 = 0 THEN 'timeout' END AS error, n_chars / 1000.0::DOUBLE AS latency FROM documents JOIN labels USING (doc_id))"""
 

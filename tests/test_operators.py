@@ -8,6 +8,7 @@ from quirework.operators import evaluation as ev
 from quirework.operators import gates
 from quirework.operators import layout as lay
 from quirework.operators import learning as lr
+from quirework.operators import lexical as lx
 from quirework.operators import records as rec
 from quirework.operators import retrieval as rt
 from quirework.sources import tables as src
@@ -119,7 +120,7 @@ def test_short_carry_drops_the_tail(spark):
 def test_bm25_empty_and_ties(spark):
     docs = spark.createDataFrame([(2, "cat dog"), (1, "cat dog"), (3, "")], "d int, text string")
     q = spark.createDataFrame([(7, "cat"), (8, "bird"), (9, "")], "q int, text string")
-    got = [(r.query_id, r.d, r["rank"]) for r in rt.bm25(docs, q, 5, "d", "q").orderBy("rank").collect()]
+    got = [(r.query_id, r.d, r["rank"]) for r in lx.bm25(lx.build(docs, "d"), q, 5, "q").orderBy("rank").collect()]
     assert got == [(7, 1, 1), (7, 2, 2)]
 
 
