@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +17,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a folder of this machine is used.
+    Only where the session names none and runs on one machine, as in tests, a folder of this machine is used;
+    on a cluster without the setting this raises, as no other folder is known to be shared.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quirework-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+class _Made(threading.local):
+    """Places of the tables that :func:`saved` wrote in this thread and nobody deleted, oldest first."""
+
+    def __init__(self):
+        self.places: list[str] = []
+
+
+_made = _Made()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
+    _made.places.append(path)
+    return path
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -35,13 +53,42 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the tables of :func:`saved` once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            name = f.rsplit("/", 1)[1]
+            _made.places[:] = [p for p in _made.places if not p.endswith(name)]
+            _delete(df.sparkSession, f)
+
+
+def mark() -> int:
+    """A point in time for :func:`sweep`: how many tables there are."""
+    return len(_made.places)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete every table that this thread made after ``since`` whose name does not start with one of ``keep``.
+
+    A query's result is lazy and reads its last tables, so only who has written that result can call this.
+    """
+    for place in _made.places[since:]:
+        if not place.rsplit("/", 1)[1].startswith(keep or ("\0",)):
+            _delete(spark, place)
+            _made.places.remove(place)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, or ``name`` with underscores, as no column of ``taken`` is called (case does not tell names apart)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def tokenizer_file(name: str) -> str:
@@ -51,10 +98,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
-    """Hand Python few rows and few bytes at a time, so that long texts (or tiles) do not pile up in one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: Most rows and bytes of one Arrow batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python few rows and few bytes at a time, so that long texts (or tiles) do not pile up in one Arrow batch.
+
+    Plans are lazy, so a setting cannot be put back before they run.  So there is one pair of values for all
+    operators, and only what the session leaves unset is set.
+    """
+    for key, value in BATCHES.items():
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, value)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
 
@@ -66,31 +65,43 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Profiles:
-    """Ranks of each language's n-grams, ready for lookups."""
+    """Each learned n-gram's languages and ranks, ready for lookups: entries ``starts[i]`` to ``starts[i + 1]`` are those of ``codes[i]``.
+
+    There are ``size`` entries a language, whatever the corpus.
+    """
 
     size: int
     languages: list[str]
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    ranks: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ranks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
-    def of(cls, lists: dict[str, list[int]], size: int) -> Profiles:
+    def build(cls, lists: dict[str, list[int]], size: int) -> Profiles:
+        """From each language's n-grams in falling frequency."""
         langs = sorted(lists)
-        codes = np.array(sorted({c for x in lists.values() for c in x}), np.int64)
-        ranks = np.full((len(codes) + 1, len(langs)), -1, np.int64)
-        for j, lang in enumerate(langs):
-            ranks[np.searchsorted(codes, np.array(lists[lang], np.int64)), j] = np.arange(len(lists[lang]))
-        return cls(size, langs, codes, ranks)
+        grams_, of, ranks = (np.array([x for j, name in enumerate(langs) for x in pick(j, lists[name])], np.int64) for pick in (lambda j, g: g, lambda j, g: [j] * len(g), lambda j, g: range(len(g))))
+        order = np.argsort(grams_, kind="stable")
+        codes, counts = np.unique(grams_, return_counts=True)
+        return cls(size, langs, codes, np.concatenate([[0], np.cumsum(counts)]), of[order], ranks[order])
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of the ranked n-grams ``own`` to each language."""
+        total = np.full(len(self.languages), self.size * len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.codes, own), max(len(self.codes) - 1, 0))
+        here = np.flatnonzero(self.codes[at] == own) if len(self.codes) else np.zeros(0, np.int64)
+        first, n = self.starts[at[here]], self.starts[at[here] + 1] - self.starts[at[here]]
+        entry = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(here) else here
+        saved = self.size - np.abs(self.ranks[entry] - np.repeat(here, n))
+        return total - np.bincount(self.of[entry], saved, len(self.languages)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language or ``und``, 1 - distance / largest possible distance)."""
         own = top(*np.unique(grams(text), return_counts=True), self.size)
         if not len(own) or not self.languages:
             return "und", 0.0
-        at = np.searchsorted(self.codes, own)
-        at[self.codes[np.minimum(at, len(self.codes) - 1)] != own] = len(self.codes)
-        r = self.ranks[at]
-        d = np.where(r < 0, self.size, np.abs(r - np.arange(len(own))[:, None])).sum(axis=0)
+        d = self.distances(own)
         best = int(np.argmin(d))
         return self.languages[best], 1.0 - float(d[best]) / (self.size * len(own))
 
@@ -100,10 +111,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "text") -> Profiles:
-    """Profiles of all whole texts of ``docs`` with a language.
+def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "text", hold: int = 250_000) -> Profiles:
+    """Profiles of all whole texts of ``docs`` with a language; null texts and null languages teach nothing.
 
-    Only each language's ``size`` most frequent n-grams come to the driver, one language after another.
+    Repeated rows count each time; an empty table gives profiles without a language, which find ``und`` alone.
+    Only each language's ``size`` most frequent n-grams come to the driver.  A task holds about ``hold`` counts
+    and hands them on when there are more.
     """
     common.small_batches(docs.sparkSession)
 
@@ -131,39 +144,44 @@ def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "te
                 part = np.unique(np.concatenate(found), return_counts=True)
                 held.setdefault(name, []).append(part)
                 waiting += len(part[0])
-            if waiting > 2_000_000:
+            if waiting > hold:
                 held = {name: [merged(parts)] for name, parts in held.items()}
                 waiting = sum(len(p[0][0]) for p in held.values())
-                if waiting > 1_000_000:
+                if waiting > hold // 2:
                     yield from out()
                     waiting = 0
         yield from out()
 
     parts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, gram long, n long")
-    counts = common.saved(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    names = [r.lang for r in counts.select("lang").distinct().collect()]
-    lists = {name: [r.gram for r in counts.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()] for name in names}
-    common.forget(counts)
-    return Profiles.of({k: v for k, v in lists.items() if v}, size)
+    counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # limited before its exchange
+    lists: dict[str, list[int]] = {}
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
+        lists.setdefault(r.lang, []).append(r.gram)
+    return Profiles.build(lists, size)
+
+
+def predictor(profiles: Profiles):
+    """Arrow function text -> (lang_pred, score): Python gets the texts alone, and other columns stay where they are."""
+
+    def run(text: pa.Array) -> pa.Array:
+        got = [profiles.predict(t) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """``docs`` + ``lang_pred``, ``score``: from the whole text alone.
 
-    Null texts and texts without a letter are ``und`` with score 0.  Columns with these names are replaced.
+    Null texts and texts without a letter are ``und`` with score 0.  Repeated rows are judged alike, and an empty
+    table gives none.  Columns of ``docs`` with these names are replaced.
     """
     common.small_batches(docs.sparkSession)
-    src = docs.drop("lang_pred", "score")
-    names = src.columns
-    schema = T.StructType([*src.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    place = names.index(text)
-
-    def run(batches):
-        for b in batches:
-            got = [profiles.predict(t) for t in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*names, "lang_pred", "score"])
-
-    return src.mapInArrow(run, schema)
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = common.unused("_found", docs.columns)
+    found = docs.select(*[f"`{c}`" for c in names], predictor(profiles)(F.col(f"`{text}`")).alias(own))
+    return found.select(*[f"`{c}`" for c in names], f"{own}.lang_pred", f"{own}.score")
 
 
 def cuts(docs: DataFrame, profiles: Profiles, share: float = 0.5) -> dict[str, float]:
@@ -178,20 +196,20 @@ def cuts(docs: DataFrame, profiles: Profiles, share: float = 0.5) -> dict[str, f
 def keep_languages(docs: DataFrame, languages: list[str] | None = None, least: float = 0.02) -> DataFrame:
     """Documents in one of ``languages`` (all learned ones by default), all columns as they were.
 
-    Learned from the documents that are not held out; rejected are ``und``, scores under the language's cut from
-    these documents' own scores and, whatever the cut, scores under ``least``.
+    Learned from the documents that are not held out; rejected are ``und`` (null texts and texts without a letter
+    too), scores under the language's cut from these documents' own scores and, whatever the cut, scores under
+    ``least``.  Repeated rows share a verdict; an empty table gives none.  Other columns never reach Python.
     """
+    common.small_batches(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL").where(~held_out())
     profiles = train(known)
     low = cuts(known, profiles)
-    found = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), profiles)
-    cut = F.lit(least)
-    for name, value in low.items():
-        cut = F.when(F.col("lang_pred") == name, F.lit(max(least, value))).otherwise(cut)
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= cut)
-    if languages is not None:
-        good &= F.col("lang_pred").isin(languages)
-    return found.where(good).select("_row.*")
+
+    def run(text: pa.Array) -> pa.Array:
+        found = [profiles.predict(t) for t in text.to_pylist()]
+        return pa.array([name != "und" and score >= max(least, low.get(name, least)) and (languages is None or name in languages) for name, score in found], pa.bool_())
+
+    return docs.where(F.arrow_udf(run, "boolean")(F.col("text")))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
