@@ -99,8 +99,8 @@ def vote_sql() -> list[str]:
     return [f"CASE WHEN {SCORES[n]} > {bad} THEN 2 WHEN {SCORES[n]} <= {good} THEN 1 ELSE 0 END" for n, (_, bad, good) in RULES.items()]
 
 
-def fit(feats: DataFrame) -> tuple[list[float], list[float]]:
-    """(odds of bad by each rule's bad vote, by its other votes), from all rows of ``feats`` that pass the base rules.
+def estimate(feats: DataFrame):
+    """Row of odds (of a document in each rule's bad class against good ones), bad and good (rates of bad votes in either), from all rows of ``feats`` that pass the base rules.
 
     What the base rules fail is decided and left out.  Each rule has a bad class of its own, held against the good
     documents alone, so how often one rule objects says nothing about another's objections.
@@ -123,11 +123,20 @@ def fit(feats: DataFrame) -> tuple[list[float], list[float]]:
     good = f"transform({each}, j -> ({PRIOR_GOOD}D * {weight} + {total('if(p.v[j] = 2, e.ok, 0D)')}) / ({weight} + {ok}))"
     new = f"named_struct('odds', {class_of}, 'bad', {bad}, 'good', {good})"
     em = f"aggregate(sequence(1, {ROUNDS}), named_struct('odds', {arr(START_SHARE)}, 'bad', {arr(START_BAD)}, 'good', {arr(PRIOR_GOOD)}), (st, k) -> {_let(post, new, 'g')})"
-    st = row.select(F.coalesce("ps", F.array().cast("array<struct<v:array<int>,n:double>>")).alias("ps")).select(F.expr(em).alias("st")).select(
-        F.expr(f"transform({each}, j -> st.odds[j] * st.bad[j] / st.good[j])").alias("bad"),
-        F.expr(f"transform({each}, j -> st.odds[j] * (1 - st.bad[j]) / (1 - st.good[j]))").alias("other"),
-    ).first()
-    return list(st.bad), list(st.other)
+    return row.select(F.coalesce("ps", F.array().cast("array<struct<v:array<int>,n:double>>")).alias("ps")).select(F.expr(em).alias("st")).select("st.*").first()
+
+
+def fit(feats: DataFrame) -> tuple[list[float], list[float]]:
+    """(odds of bad by each rule's bad vote, by its other votes)."""
+    st = estimate(feats)
+    each = list(zip(st.odds, st.bad, st.good, strict=True))
+    return [o * b / g for o, b, g in each], [o * (1 - b) / (1 - g) for o, b, g in each]
+
+
+def report(feats: DataFrame) -> list[dict]:
+    """Each rule's fitted class share, rates of bad votes and whether the rate in its bad class stands at an end of its range."""
+    st = estimate(feats)
+    return [{"rule": n, "share": o / (1 + sum(st.odds)), "bad": b, "good": g, "at_bound": min(abs(b - RANGE_BAD[0]), abs(b - RANGE_BAD[1])) < 1e-9} for n, o, b, g in zip(RULES, st.odds, st.bad, st.good, strict=True)]
 
 
 def p_bad(model: tuple[list[float], list[float]]) -> Column:
@@ -144,11 +153,13 @@ def judge(feats: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept documents, all columns as they were.  Null and short texts fail the base rules and go.
 
-    The texts are read twice: once for the vote patterns, once to apply what was estimated from them.
+    Repeated rows are judged alike; an empty table gives none.  Counts are made once and written beside the rows;
+    estimation reads the counts alone.
     """
-    model = fit(features(docs, []))
-    sub = features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text")), ["_row"])
-    return sub.where(~base_failed() & (p_bad(model) < 0.5)).select("_row.*")
+    sub = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    feats = common.saved(features(sub, ["_row"]), "features")
+    model = fit(feats.drop("_row"))
+    return feats.where(~base_failed() & (p_bad(model) < 0.5)).select("_row.*")
 
 
 def quality(docs: DataFrame) -> DataFrame:
