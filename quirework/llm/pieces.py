@@ -24,6 +24,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -32,10 +33,34 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
+class Memo(dict):
+    """Key -> value, computed when first asked for, in two generations of at most ``limit`` bytes each.
+
+    A full generation becomes the older one; what is asked for again moves on to the newer.
+    """
+
+    def __init__(self, make, size, limit: int):
+        self.make, self.size, self.limit = make, size, limit
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if (size := self.size(key, value)):
+            if self.held + size > self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self.held += size
+            self[key] = value
+        return value
+
+
 class PieceCodec:
-    """Encoder and decoder for one model file; ``limit`` bounds the table of parts already encoded."""
+    """Encoder and decoder for one model file; ``limit`` bounds the bytes of each table of what is already known."""
 
-    def __init__(self, model_file: str, limit: int = 600_000):
+    def __init__(self, model_file: str, limit: int = 64 << 20):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -61,10 +86,9 @@ class PieceCodec:
             self.auto.add_word(piece, (len(piece), piece))
         self.auto.make_automaton()
         self.lengths = {piece: len(piece) for piece in self.ids}
-        self.compatible_memo: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
-        self.parts: dict[str, tuple[str, int]] = {}
-        self.limit = limit
+        self.compatible = Memo(lambda ab: self.merge(ab[0] + ab[1]) == list(ab), lambda ab, _: 300, limit // 4)
+        self.own: dict[str, bool] = {}  # one entry a piece at most
+        self.parts = Memo(self._joined, lambda p, x: 200 + 2 * len(p) + len(x) if len(p) <= 64 else 0, limit)
         self.cut = re.compile(self._cut_pattern())
         self.token_text = [str(i) for i in range(len(self.pieces))]
         self.token_bytes = [
@@ -111,15 +135,6 @@ class PieceCodec:
             offer(i, nxt[i])
         return [s for s in sym if s is not None]
 
-    def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self.compatible_memo.get(key)
-        if known is None:
-            if len(self.compatible_memo) >= 2 * self.limit:
-                self.compatible_memo.clear()
-            known = self.compatible_memo[key] = self.merge(a + b) == [a, b]
-        return known
-
     def whole(self, piece: str) -> bool:
         known = self.own.get(piece)
         if known is None:
@@ -144,7 +159,7 @@ class PieceCodec:
             k = len(found) - 1 if choice is None else choice
             while k >= 0:
                 piece = found[k]
-                if not failed >> (pos + len(piece)) & 1 and (before is None or self.compatible(before, piece)):
+                if not failed >> (pos + len(piece)) & 1 and (before is None or self.compatible[before, piece]):
                     break
                 k -= 1
             if k >= 0:
@@ -171,25 +186,15 @@ class PieceCodec:
                 ids.append(i)
         return ids
 
+    def _joined(self, part: str) -> str:
+        return ",".join([self.token_text[i] for i in self.part_ids(part)])
+
     def encode_joined(self, text: str | None) -> tuple[str, int]:
         """The decimal ids of a whole text, joined by commas, and their number."""
         if not text:
             return "", 0
-        parts, known, out = self.cut.findall(SPACE + text.replace(" ", SPACE)), self.parts, []
-        get = known.get
-        total = 0
-        for p in parts:
-            x = get(p)
-            if x is None:
-                if len(known) >= self.limit:
-                    known.clear()
-                ids = self.part_ids(p)
-                x = (",".join([self.token_text[i] for i in ids]), len(ids))
-                if len(p) <= 64:
-                    known[p] = x
-            out.append(x[0])
-            total += x[1]
-        return ",".join(out), total
+        joined = ",".join(map(self.parts.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE))))
+        return joined, joined.count(",") + 1
 
     def encode(self, text: str | None) -> list[int]:
         joined, _ = self.encode_joined(text)
@@ -211,7 +216,7 @@ class PieceCodec:
 _codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec(model_file: str, limit: int = 600_000) -> PieceCodec:
+def codec(model_file: str, limit: int = 64 << 20) -> PieceCodec:
     """One codec for each worker process, kept between batches and tasks."""
     key = (model_file, limit)
     if key not in _codecs:
@@ -247,6 +252,28 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", text:
     return src.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, keep: list[str], model: str = "piece_bpe_32k.model", text: str = "text") -> DataFrame:
+    """``keep`` columns + ``ids`` array<int> + ``n_tokens`` long + ``round_trip``: whether the ids decode to the text.
+
+    As :func:`encode_documents`, but the comparison is made where the text is, so no text leaves Python.  The
+    library writes a space for U+2581, so a text that holds one does not come back.  Columns of ``docs`` with the
+    three names are replaced.
+    """
+    common.small_batches(docs.sparkSession)
+    keep = [c for c in keep if c not in ("ids", "n_tokens", "round_trip")]
+    own = common.unused("_coded", docs.columns)
+
+    def run(texts: pa.Array) -> pa.Array:
+        c = codec(_model_path(model))
+        plain = [t or "" for t in texts.to_pylist()]
+        ids = [c.encode(t) for t in plain]
+        back = [c.decode(x) == t for x, t in zip(ids, plain, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(back)], names=["ids", "n_tokens", "round_trip"])
+
+    coded = docs.select(*[f"`{c}`" for c in keep], F.arrow_udf(run, "ids array<int>, n_tokens long, round_trip boolean")(F.col(f"`{text}`")).alias(own))
+    return coded.select(*[f"`{c}`" for c in keep], f"{own}.*")
+
+
 def digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text: what encode_documents gives, hashed in place."""
     common.small_batches(docs.sparkSession)
