@@ -7,7 +7,6 @@ last stage gives token ids.  A table with further columns keeps them up to the l
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quirework.llm import common, langid, mixing, pieces, quality, simhash
 
@@ -30,8 +29,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens and whether the ids decode to the text; copies stay copies."""
-    out = pieces.encode_documents(docs, keep=["doc_id", "lang", "source", "text"])
-    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return pieces.encode_checked(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [("quality", rules), ("language", language), ("near_dedup", dedup), ("mixing", mixture), ("encoding", tokens)]
