@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merging.
 
-Vectors are packed into block rows (ids + one small-integer matrix).  A query block meets every shard of
-candidate blocks through an equi-join on the shard number, so neither side is broadcast or collected: each
-query block is sent to each shard once, and a task holds one tile of ``rows x queries`` scores at a time.
+Vectors are packed into block rows (ids + one small-integer matrix).  Query blocks are dealt into groups of
+bounded size and candidate blocks into shards; every group meets every shard through an equi-join, so neither
+side is broadcast or collected, and a task holds one group and one tile of ``rows x queries`` scores at a time.
 A task keeps the best k of a query block over its tiles; lists of different shards are merged in two
 levels, so that no group holds more than about the square root of the number of shards.
 """
@@ -111,21 +111,30 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
     return out
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", scale: float = 256.0, rows: int = 2048, query_rows: int = 512, shards: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding", scale: float = 256.0, rows: int = 2048, query_rows: int = 512, shards: int | None = None, group_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest integer inner products for each query row.
 
     A candidate with the query's own key takes no part.  Vectors that are null, hold null or non-finite
     components, or have no key, take no part on either side; vectors of another dimension than the query's
     take no part for it.  Repeated candidate rows count each; a repeated query key is answered from all its
-    vectors, the k best overall.  Fewer than k candidates give fewer rows; empty tables give none.
-    Memory: a task holds one tile of scores (rows x query_rows x 8 bytes) and one Arrow batch of blocks.
+    vectors, the k best overall.  Fewer than k candidates give fewer rows; empty tables give none.  Sums beyond 64
+    bits, which ``score`` cannot hold, count as its largest or smallest value.
+
+    The work is a grid of query groups x shards of candidates.  A group holds about ``group_bytes`` of query blocks
+    (the hash side of a task, which does not spill), however many queries there are; by default there are as many
+    shards as make the grid's cells the session's shuffle partitions.  Beside its group a task holds one tile of
+    scores (rows x query_rows x 8 bytes) and one Arrow batch of blocks.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cand = pack(vectors, key, value, scale, rows).withColumn("shard", F.pmod(F.xxhash64("block", "dim"), F.lit(shards)).cast("int"))
-    q = pack(queries, key, value, scale, query_rows).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("bits").alias("q_bits"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    tiles = q.hint("shuffle_hash").join(cand, ["shard", "dim"]).select("dim", "shard", "q_block", "q_ids", "q_bits", "q_matrix", "ids", "bits", "matrix")
+    asked = common.saved(pack(queries, key, value, scale, query_rows), "queries")
+    size = asked.agg(F.sum(F.octet_length("matrix") + F.octet_length("ids"))).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    shards = shards or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cand = pack(vectors, key, value, scale, rows).withColumn("shard", F.pmod(F.xxhash64("block", "dim"), F.lit(shards)).cast("int")).withColumn("group", every(groups))
+    q = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("bits").alias("q_bits"), F.col("matrix").alias("q_matrix"), F.pmod(F.xxhash64("block", "dim", F.lit(5)), F.lit(groups)).cast("int").alias("group"), every(shards).alias("shard"))
+    tiles = q.hint("shuffle_hash").join(cand, ["shard", "group", "dim"]).select("dim", "shard", "q_block", "q_ids", "q_bits", "q_matrix", "ids", "bits", "matrix")
     out = pa.schema([("shard", pa.int32()), ("query_id", pa.int64()), ("top", pa.list_(pa.struct([("neg", pa.int64()), ("vec_id", pa.int64())])))])
 
     def run(batches):
