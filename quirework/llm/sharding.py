@@ -84,38 +84,54 @@ def deal(weights: list[int], k: int) -> list[int]:
     return place
 
 
+def _each_cell(batches, column: int):
+    """Tables of the runs of equal values in ``column``, one after another, from rows sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        own = b.column(column).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        for a, z in zip(edges, edges[1:], strict=False):
+            if held and held[-1].column(column)[0].as_py() != own[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(df: DataFrame, cell: str, cells: int) -> DataFrame:
+    """Rows by cell, many cells in a partition where there are more than the session's shuffle partitions, each cell's rows together."""
+    parts = max(1, min(cells, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartitionById(parts, F.pmod(F.col(cell), F.lit(parts)).cast("int")).sortWithinPartitions(cell)
+
+
 def _cells(small: DataFrame, k: int, cells: int) -> DataFrame:
-    """h, size, crc, weight, cell, part: each cell's groups differenced into k parts in its own task."""
+    """h, size, crc, weight, cell, part: each cell's groups differenced into k parts; a task holds one cell at a time."""
 
     def run(batches):
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables).combine_chunks()
-        part = np.array(deal(t.column("weight").to_pylist(), k), np.int32)
-        for b in t.append_column("part", pa.array(part)).to_batches(20_000):
-            yield b
+        for t in _each_cell(batches, 4):
+            part = np.array(deal(t.column("weight").to_pylist(), k), np.int32)
+            yield from t.append_column("part", pa.array(part)).combine_chunks().to_batches(20_000)
 
     src = small.withColumn("cell", F.pmod(F.xxhash64(*KEY), F.lit(cells)).cast("int")).select(*KEY, "weight", "cell")
-    return src.repartitionById(cells, F.col("cell")).mapInArrow(run, "h long, size long, crc long, weight long, cell int, part int")
+    return _dealt(src, "cell", cells).mapInArrow(run, "h long, size long, crc long, weight long, cell int, part int")
 
 
 def _combined(chips: DataFrame, k: int, supers: int) -> DataFrame:
-    """cell, part, super, joint: cells of one super-cell combined by differencing."""
+    """cell, part, super, joint: cells of one super-cell combined by differencing, super-cell after super-cell."""
 
     def run(batches):
-        by: dict[tuple[int, int], dict[int, int]] = {}
-        for b in batches:
-            for c, p, w in zip(*(x.to_pylist() for x in b.columns[:3]), strict=True):
+        for t in _each_cell(batches, 3):
+            by: dict[int, dict[int, int]] = {}
+            for c, p, w in zip(*(t.column(n).to_pylist() for n in ("cell", "part", "weight")), strict=True):
                 by.setdefault(c, {})[p] = w
-        if not by:
-            return
-        _, subsets = difference([(list(x.values()), [Item((c, p)) for p in x]) for c, x in sorted(by.items())], k)
-        rows = [(c, p, c % supers, j) for j, s in enumerate(subsets) for c, p in s]
-        for a in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*rows[a : a + 20_000], strict=True)], names=["cell", "part", "super", "joint"])
-
-    return chips.select("cell", "part", "weight").repartitionById(supers, F.pmod("cell", F.lit(supers)).cast("int")).mapInArrow(run, "cell int, part int, super int, joint int")
+            _, subsets = difference([(list(x.values()), [Item((c, p)) for p in x]) for c, x in sorted(by.items())], k)
+            rows = [(c, p, c % supers, j) for j, s in enumerate(subsets) for c, p in s]
+            for a in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in zip(*rows[a : a + 20_000], strict=True)], names=["cell", "part", "super", "joint"])
+
+    src = chips.select("cell", "part", "weight", F.pmod("cell", F.lit(supers)).cast("int").alias("super"))
+    return _dealt(src, "super", supers).mapInArrow(run, "cell int, part int, super int, joint int")
 
 
 def shard(docs: DataFrame, k: int = 16, cell_groups: int = 20_000, singles: int = 20_000, supers: int = 1024, spread: int = 1024) -> DataFrame:
