@@ -9,8 +9,9 @@ both counted; the estimate comes from a bounded sample and bears on cost alone,
 A part with threshold e is probed by signatures: the part with e of its bits masked out, for each choice of
 e bits.  Two values within e bits share one.  So every bucket of equal signatures is a set of candidates.
 A bucket is verified whole, and what leaves it is a spanning forest of its links, not all pairs; groups are
-the components of the links, which a forest keeps.  Buckets above ``big`` go to a second round that deals
-them out in pairs of blocks.  Equal fingerprints are one node throughout, so copies cost nothing here.
+the components of the links, which a forest keeps.  Buckets above ``big`` are probed again: their members
+agree in the signature's bits, so within tau they agree in one of tau + 1 groups of the other bits, too.  What
+is still too large after two such rounds is dealt out in pairs of blocks.  Equal fingerprints are one node throughout, so copies cost nothing here.
 """
 
 from __future__ import annotations
@@ -237,29 +238,51 @@ def _bucket_runner(keys: int, tau: int, big: int | None):
     return run
 
 
-def links(distinct: DataFrame, tau: int = 4, sample: int = 4096, big: int = 8192) -> DataFrame:
+def _probe(spark: SparkSession, sigs: DataFrame, tau: int, big: int | None, keys: list[str]) -> DataFrame:
+    """Rows of :func:`_bucket_runner` over (``keys``, fp), buckets kept together."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sigs.select(*keys, "fp").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_bucket_runner(len(keys), tau, big), "a long, b long, kind int, value long")
+
+
+def _narrower(mask: int, tau: int) -> list[int]:
+    """``mask`` with one of tau + 1 groups of the other bits added: fingerprints that agree in ``mask`` and differ in at most tau bits agree in one of these."""
+    rest = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | mask_of(rest[i :: tau + 1]) for i in range(tau + 1)]
+
+
+def links(distinct: DataFrame, tau: int = 4, sample: int = 4096, big: int = 8192, again: int = 2) -> DataFrame:
     """Links (a, b) of the distinct fingerprints ``fp`` that keep their components.
 
-    ``sample``: how many fingerprints, by hash, the driver sees to estimate candidates.
+    ``sample``: how many fingerprints, by hash, the driver sees to estimate candidates.  Buckets of more than ``big``
+    members are probed again on further bits, up to ``again`` times; what is still larger is dealt out in pairs of
+    blocks, so every pair of a bucket is compared in some task and none holds more than ``big`` members.
     """
+    spark = distinct.sparkSession
     n = distinct.count()
     low = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, 2 * sample / max(1, n)) * (1 << 30))
     some = distinct.where(low).select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     masks = signature_masks(plan(np.array([r.fp for r in some], np.int64).view(np.uint64), n, tau))
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for k, m in enumerate(masks)])
-    sigs = distinct.select("fp", F.inline(kinds)).select("kind", "value", "fp")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = common.saved(sigs.repartition(parts, "kind", "value").sortWithinPartitions("kind", "value").mapInArrow(_bucket_runner(2, tau, big), "a long, b long, kind int, value long"), "links")
-    small, large = found.where("kind IS NULL").select("a", "b"), found.where("kind IS NOT NULL").select("kind", "value", F.col("a").alias("fp"))
-    if not large.limit(1).count():
-        return small
-    blocks = large.groupBy("kind", "value").agg(F.ceil(F.count(F.lit(1)) / (big // 2)).cast("int").alias("g"))
-    dealt = large.join(blocks, ["kind", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    kinds = lambda ms: F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(signed(m)).alias("value")) for k, m in ms])
+    sigs = distinct.select("fp", F.inline(kinds(list(enumerate(masks)))))
+    out = None
+    for _ in range(again + 1):
+        found = common.saved(_probe(spark, sigs, tau, big, ["kind", "value"]), "links")
+        small, large = found.where("kind IS NULL").select("a", "b"), found.where("kind IS NOT NULL").select("kind", "value", F.col("a").alias("fp"))
+        out = small if out is None else out.unionByName(small)
+        heavy = sorted(r.kind for r in large.select("kind").distinct().collect())  # at most as many as there are masks
+        if not heavy:
+            return out
+        nxt = sorted({m for k in heavy for m in _narrower(masks[k], tau)})
+        place = {m: k for k, m in enumerate(nxt)}
+        sub = F.coalesce(*[F.when(F.col("kind") == k, kinds([(place[m], m) for m in _narrower(masks[k], tau)])) for k in heavy])
+        last, masks = large, nxt
+        sigs = large.select("fp", F.inline(sub)).distinct()  # two heavy kinds can have a narrower mask in common
+    blocks = last.groupBy("kind", "value").agg(F.ceil(F.count(F.lit(1)) / (big // 2)).cast("int").alias("g"))
+    dealt = last.join(blocks, ["kind", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("kind", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    more = dealt.repartition(parts, "kind", "value", "lo", "hi").sortWithinPartitions("kind", "value", "lo", "hi").mapInArrow(_bucket_runner(4, tau, None), "a long, b long, kind int, value long")
-    return small.unionByName(more.select("a", "b"))
+    return out.unionByName(_probe(spark, dealt, tau, None, ["kind", "value", "lo", "hi"]).select("a", "b"))
 
 
 # -- components
@@ -293,13 +316,16 @@ def near_groups(docs: DataFrame, tau: int = 4, sample: int = 4096, big: int = 81
     null doc_id link too; a group of such rows alone has a null component_id.  An empty table gives none.
     """
     fps = common.saved(fingerprints(docs), "fingerprints")
+    began = common.mark()
     nodes = common.saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     lab = components(links(nodes, tau, sample, big))
     linked = nodes.join(lab.select(F.col("node").alias("fp"), "label"), "fp")
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     of = common.saved(linked.join(least, "label").select("fp", "component_id"), "groups")
     ids = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(common.saved(ids, "ids"), "fp").select("doc_id", "fp", "component_id")
+    ids = common.saved(ids, "ids")
+    common.sweep(docs.sparkSession, began, keep=("ids-",))
+    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
