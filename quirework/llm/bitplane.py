@@ -26,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe, common
@@ -163,6 +163,41 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below ``value`` (null: 0), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    array = F.lit(bounds).cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        below = (at["lo"] < at["hi"]) & F.coalesce(F.get(array, mid) < value, F.lit(False))
+        return F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(below | (at["lo"] >= at["hi"]), at["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda at: at["lo"])
+
+
+def range_bounds(docs: DataFrame, parts: int, fine: int = 8, most: int = 20_000) -> list[int]:
+    """At most ``parts`` - 1 bounds of doc_id that part the summed text bytes, not the rows, evenly.
+
+    From doc_id and the texts' lengths alone: repartitionByRange would encode every text a second time for its
+    sample.  First ``fine`` ranges a part of near equal rows (the parts themselves if there would be more than
+    ``most``), then each range's bytes, then neighbours joined.  The driver sees one number a range.
+    """
+    n = max(parts, min(fine * parts, most))
+    found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
+    cuts = sorted(set(found))
+    weights = docs.groupBy(range_of(F.col("doc_id"), cuts).alias("r")).agg(F.sum(common.text_bytes() + 1).alias("b")).collect()
+    by = {r.r: r.b for r in weights}
+    goal, total, out = sum(by.values()) / parts, 0, []
+    for i, c in enumerate(cuts):
+        total += by.get(i, 0)
+        if total >= goal * (len(out) + 1) and len(out) < parts - 1:
+            out.append(c)
+    return out
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, block: int = 1 << 16, kind: str = "byte", level: int = 3) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write bit-plane files in ascending doc_id (null first) to ``path``.
 
@@ -175,11 +210,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json",
     src = encoded(docs, tokenizer, end_id)
     width, kind_of_id = (lambda e: (e.width, e.kind))(bytebpe.encoder(tokenizer))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges from doc_id alone: repartitionByRange would encode every text a second time for its sample.
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    bounds = sorted(set(cuts))[: parts - 1]
-    bucket = F.coalesce(F.size(F.filter(F.lit(bounds or [0]).cast("array<bigint>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    ordered = src.repartitionById(parts, bucket).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    bounds = range_bounds(docs, parts)
+    ordered = src.repartitionById(parts, range_of(F.col("doc_id"), bounds)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches):
         from pyarrow import fs
