@@ -137,19 +137,16 @@ def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "te
             held.clear()
 
         for b in batches:
-            by: dict[str, list] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(grams(t))
-            for name, found in by.items():
-                part = np.unique(np.concatenate(found), return_counts=True)
+                part = np.unique(grams(t), return_counts=True)
                 held.setdefault(name, []).append(part)
                 waiting += len(part[0])
-            if waiting > hold:
-                held = {name: [merged(parts)] for name, parts in held.items()}
-                waiting = sum(len(p[0][0]) for p in held.values())
-                if waiting > hold // 2:
-                    yield from out()
-                    waiting = 0
+                if waiting > hold:
+                    held = {name: [merged(parts)] for name, parts in held.items()}
+                    waiting = sum(len(p[0][0]) for p in held.values())
+                    if waiting > hold // 2:
+                        yield from out()
+                        waiting = 0
         yield from out()
 
     parts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, gram long, n long")

@@ -60,7 +60,7 @@ class Memo(dict):
 class PieceCodec:
     """Encoder and decoder for one model file; ``limit`` bounds the bytes of each table of what is already known."""
 
-    def __init__(self, model_file: str, limit: int = 64 << 20):
+    def __init__(self, model_file: str, limit: int = 48 << 20):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -216,7 +216,7 @@ class PieceCodec:
 _codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec(model_file: str, limit: int = 64 << 20) -> PieceCodec:
+def codec(model_file: str, limit: int = 48 << 20) -> PieceCodec:
     """One codec for each worker process, kept between batches and tasks."""
     key = (model_file, limit)
     if key not in _codecs:
