@@ -53,3 +53,13 @@ def epoch(text: Column) -> Column:
 
 def epoch_text(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def clock_trusted(at: Column) -> Column:
+    """A clock before 2020 was never set."""
+    return F.coalesce(at > F.lit("2020-01-01").cast("timestamp_ntz"), F.lit(False))
+
+
+def percent_text(part: Column, whole: Column) -> Column:
+    """Share as text with one place, ``n/a`` of nothing."""
+    return F.when(F.coalesce(whole, F.lit(0)) == 0, "n/a").otherwise(F.format_string("%.1f%%", round_exact(100.0 * part / whole, 1)))

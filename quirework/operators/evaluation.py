@@ -99,12 +99,13 @@ def distribution(records: DataFrame, offs: DataFrame | None = None, kind: str =
     return g.select(by, "n", two(F.col("lo")).alias("lo"), two(F.col("m")).alias("mid"), two(F.col("hi")).alias("hi"), "offset", two(F.col("m") + F.col("offset")).alias("mid_after"))
 
 
-def offsets(records: DataFrame, least: int, share: float = 0.5, by: str = "pub_id") -> DataFrame:
-    """pub, n, location, offset that moves each location to the median of all; groups under ``least`` are skipped."""
-    loc = records.where("error IS NULL AND kind = 'in' AND top_score IS NOT NULL").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("top_score", F.lit(share)).alias("loc"))
-    ref = loc.where(F.col("n") >= least).agg(F.median("loc").alias("ref"))
+def offsets(records: DataFrame, least: int, share: float = 0.5, by: str = "pub_id", reference: str = "median") -> DataFrame:
+    """pub, n, location, offset that moves each location (the ``share`` percentile) to the median, mean or max of all; groups under ``least`` are skipped."""
+    loc = records.where(f"error IS NULL AND kind = 'in' AND top_score IS NOT NULL AND {by} IS NOT NULL").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("top_score", F.lit(share)).alias("loc"))
+    middle = {"median": F.median, "mean": F.avg, "max": F.max}[reference]
+    ref = loc.where(F.col("n") >= least).agg(middle("loc").alias("ref"))
     ok = F.col("n") >= least
-    return loc.crossJoin(F.broadcast(ref)).select(by, "n", F.round("loc", 6).alias("location"), F.when(ok, F.round(F.col("ref") - F.col("loc"), 3)).alias("offset"), (~ok).alias("skipped"))
+    return loc.crossJoin(F.broadcast(ref)).select(by, "n", F.round("loc", 6).alias("location"), F.when(ok, maths.round_exact(F.col("ref") - F.col("loc"), 3)).alias("offset"), (~ok).alias("skipped"))
 
 
 def calibrated(records: DataFrame, offs: DataFrame, by: str = "pub_id") -> DataFrame:
@@ -112,14 +113,24 @@ def calibrated(records: DataFrame, offs: DataFrame, by: str = "pub_id") -> DataF
     return records.join(offs.select(by, "offset"), by, "left").withColumn("effective", F.col("top_score") + F.coalesce("offset", F.lit(0.0)))
 
 
-def rescue_curve(records: DataFrame) -> DataFrame:
-    """value, fixed, broken: refused in-corpus rows that a rescue at this value would answer, and out-of-corpus rows it would break.
+def rescue_curve(refused: DataFrame) -> DataFrame:
+    """threshold, fixed, broken: refused in-corpus rows that a rescue at this value would answer, and rightly refused rows it would break.
 
+    ``refused``: kind, expects, value.  Traps (out, an answer expected) are neither, but their values are thresholds too.
     Counts per value first, then one cumulative window over the distinct values.
     """
-    per = records.groupBy("value").agg(F.count_if(F.col("kind") == "in").alias("i"), F.count_if(F.col("kind") == "out").alias("o"))
-    w = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("value", F.sum("i").over(w).alias("fixed"), F.sum("o").over(w).alias("broken"))
+    trap = (F.col("kind") == "out") & F.coalesce("expects", F.lit(False))
+    per = refused.where("value IS NOT NULL").groupBy(maths.round_exact(F.col("value"), 3).alias("threshold"), "value").agg(F.count_if(F.col("kind") == "in").alias("i"), F.count_if((F.col("kind") == "out") & ~trap).alias("o"))
+    # a value counts for every threshold that it reaches, and rounding can put its own threshold above it
+    t, w = per.select("threshold").distinct(), Window.orderBy(F.desc("at"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    marks = per.select(F.col("value").alias("at"), F.lit(1).alias("mark"), "i", "o").unionByName(t.select(F.col("threshold").alias("at"), F.lit(0).alias("mark"), F.lit(0).alias("i"), F.lit(0).alias("o")))
+    summed = marks.groupBy("at", "mark").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return summed.select("at", "mark", F.sum("i").over(w).alias("fixed"), F.sum("o").over(w).alias("broken")).where("mark = 0").select(F.col("at").alias("threshold"), "fixed", "broken")
+
+
+def best_rescue(curve: DataFrame) -> DataFrame:
+    """The threshold that breaks nothing and fixes most (ties: the lowest); no row if nothing can be fixed for free."""
+    return curve.where("broken = 0 AND fixed > 0").orderBy(F.desc("fixed"), "threshold").limit(1)
 
 
 def answer_metrics(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import maths
 from ..functions import text as tx
 
 #: Screening marks.
@@ -73,6 +74,22 @@ def ordinals(parts: DataFrame) -> DataFrame:
     return parts.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc", "chapter", "section").orderBy("pos")))
 
 
+def section_counter(parts: DataFrame, by_chapter: bool) -> DataFrame:
+    """``parts`` (doc, chapter, section, pos) + section_seq: how often the section has changed so far, from the first line on; anew in each chapter if asked.
+
+    Two nulls are no change; a first section that is not null is one.
+    """
+    keys = ["doc", "chapter"] if by_chapter else ["doc"]
+    w = Window.partitionBy(*keys).orderBy("pos")
+    changed = (~F.col("section").eqNullSafe(F.lag("section").over(w))).cast("int")
+    return parts.withColumn("_c", changed).withColumn("section_seq", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+
+
+def clean_outline(entries: DataFrame) -> DataFrame:
+    """doc, start, level, title of an outline as read (doc, page from 1, level, title): entries without a page go, pages count from 0, blanks are single."""
+    return entries.where(F.col("page") >= 1).select("doc", (F.col("page") - 1).alias("start"), "level", tx.collapse("title").alias("title"))
+
+
 def outline_asof(points: DataFrame, outline: DataFrame) -> DataFrame:
     """Each point (doc, pos) with the last outline entry (doc, start, level, title) at or before it and its chapter (last level 1).
 
@@ -198,3 +215,16 @@ def heading_noise(x) -> Column:
     """Headings that name nothing: dates, under 4 characters, no letter, a few empty words."""
     t = F.trim(tx.c(x))
     return t.rlike(DATE_LIKE) | (F.length(t) < 4) | ~t.rlike(r"\p{L}") | F.lower(t).isin(EMPTY_HEADINGS)
+
+
+def chunk_report(chunks: DataFrame, first: int = 8) -> DataFrame:
+    """Each publication's chunks: shares with a page, with a section and across pages, the whole median length, the first unmatched headings.
+
+    ``chunks``: pub_id, n_chars, has_page, has_section, spans, unmatched (null: matched).
+    """
+    pct = lambda c: maths.round_exact(100 * F.avg(F.coalesce(c, F.lit(False)).cast("int")), 1)
+    w = Window.partitionBy("pub_id").orderBy("unmatched")
+    odd = chunks.where("unmatched IS NOT NULL").select("pub_id", "unmatched").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first)
+    names = odd.groupBy("pub_id").agg(F.array_sort(F.collect_list("unmatched")).alias("unmatched"))
+    g = chunks.groupBy("pub_id").agg(F.count(F.lit(1)).alias("chunks"), pct(F.col("has_page")).alias("pct_with_page"), pct(F.col("has_section")).alias("pct_with_section"), pct(F.col("spans")).alias("pct_spanning"), F.floor(F.median("n_chars")).cast("int").alias("median_chars"))
+    return g.join(names, "pub_id", "left")

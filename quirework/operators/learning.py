@@ -161,12 +161,6 @@ def shape_flags(question: Column, points: Column) -> Column:
     return F.array_compact(F.array(F.when(shape, F.lit("SHAPE")), F.when(leaked, F.lit("ANSWER_LEAKED"))))
 
 
-def reconcile(points: Column, claims: Column) -> Column:
-    """struct<covered, missed>: a key point is covered if some claim has at least half of its tokens."""
-    hit = lambda p: F.exists(claims, lambda x: tx.overlap(tx.grading_tokens(x), tx.grading_tokens(p)) >= 0.5)
-    return F.struct(F.filter(points, hit).alias("covered"), F.filter(points, lambda p: ~hit(p)).alias("missed"))
-
-
 def _found(points: Column, claims: Column) -> Column:
     """One boolean a point: some claim has at least half of its tokens.  Every text is cut into tokens once."""
     has = lambda own, theirs: F.exists(theirs, lambda t: tx.overlap(t, own) >= 0.5)

@@ -47,6 +47,30 @@ def statements(interactions: DataFrame, base: str = "https://example.org/xapi")
     return interactions.select("seq", F.to_json(body).alias("statement_json"))
 
 
+def append(interactions: DataFrame, path: str, batch: int) -> None:
+    """Write a batch of numbered interactions, each with its statement beside it, to ``path``: one folder and one commit a batch.
+
+    A batch that is written again, after a failure or twice at once, takes its own place; no interaction is without its statement.
+    """
+    both = interactions.join(statements(interactions), "seq")
+    both.write.mode("overwrite").parquet(f"{path}/batch={int(batch)}")
+
+
+def appended(spark, path: str) -> DataFrame:
+    """All interactions with statement_json and their batch."""
+    return spark.read.parquet(path)
+
+
+def mark_exported(exported: DataFrame, path: str, export: int) -> None:
+    """Note the ``seq`` of what an export holds; notes are only ever added."""
+    exported.select("seq").distinct().write.mode("overwrite").parquet(f"{path}/export={int(export)}")
+
+
+def pending(interactions: DataFrame, marks: DataFrame) -> DataFrame:
+    """What no export holds yet."""
+    return interactions.join(marks.select("seq").distinct(), "seq", "left_anti")
+
+
 def signed_bundle(rows: list[dict], key: bytes) -> dict:
     """Canonical JSON of the rows in seq order with its HMAC-SHA256.  Driver-side: a bundle is one document."""
     body = json.dumps(sorted(rows, key=lambda r: (r["seq"], r.get("id", 0))), sort_keys=True, separators=(",", ":"), default=str)

@@ -23,7 +23,9 @@ NOT_NAMES = frozenset(
     tccc mccmos usmc warfighting general colonel major captain president committee's""".split()
 )
 PARTICLES = "of the von van de del la".split()
-LABELS = {"cardinal": "count", "ordinal": "ordinal", "year": "year/edition", "page": "page reference", "proper_noun": "name"}
+
+#: What a reader is told of each kind.
+LABELS = {"cardinal": "figure", "ordinal": "rank in an order", "year": "date", "page": "place in print", "proper_noun": "person or body"}
 
 _WORD_VALUE = {w: n for n, w in enumerate(UNITS)} | {w: 10 * n for n, w in enumerate(TENS, 2)}
 _ANY_NUMBER = "|".join(sorted([*_WORD_VALUE, "hundred"], key=len, reverse=True))

@@ -311,9 +311,10 @@ def exclusive_quantiles(spark, d):
     return ev.quantile_grid(tb.records(spark, d).where("error IS NULL"), "top_score")
 
 
-_OFF = "l AS (SELECT pub_id, count(*) AS n, quantile_cont(top_score, 0.5) AS loc FROM records WHERE error IS NULL AND kind = 'in' AND top_score IS NOT NULL GROUP BY 1), r AS (SELECT median(loc) AS ref FROM l WHERE n >= 5), o AS (SELECT pub_id, n, round(loc, 6) AS location, CASE WHEN n >= 5 THEN round(ref - loc, 3) END AS \"offset\", n < 5 AS skipped FROM l, r)"
+_OFF = "l AS (SELECT pub_id, count(*) AS n, quantile_cont(top_score, 0.5) AS loc FROM records WHERE error IS NULL AND kind = 'in' AND top_score IS NOT NULL GROUP BY 1), r AS (SELECT median(loc) AS ref FROM l WHERE n >= 5), o AS (SELECT pub_id, n, round(loc, 6) AS location, CASE WHEN n >= 5 THEN CAST(format('{:.3f}', ref - loc) AS DOUBLE) END AS \"offset\", n < 5 AS skipped FROM l, r)"
 
 
+_three = "CAST(format('{{:.3f}}', {}) AS DOUBLE)".format
 _two = "CAST(format('{{:.2f}}', {}) AS DOUBLE)".format
 
 
@@ -340,9 +341,23 @@ def latency_nearest_rank(spark, d):
     return ev.nearest_ranks(tb.records(spark, d), "latency", {"p50": 0.5, "p95": 0.95})
 
 
-@query(_with(tb.RECORDS) + "SELECT value, CAST(sum(i) OVER w AS BIGINT) AS fixed, CAST(sum(o) OVER w AS BIGINT) AS broken FROM (SELECT min_support AS value, count(*) FILTER (WHERE kind = 'in') AS i, count(*) FILTER (WHERE kind = 'out') AS o FROM records GROUP BY 1) WINDOW w AS (ORDER BY value DESC)")
+_CURVE = f"""rf AS (SELECT *, -5 + n_claims * 3 + min_support AS value FROM records WHERE error IS NULL AND (declined OR coalesce(top_score < 0, true))),
+cv AS (SELECT t AS threshold, count(*) FILTER (WHERE kind = 'in' AND value >= t) AS fixed, count(*) FILTER (WHERE kind = 'out' AND NOT expects AND value >= t) AS broken FROM rf, (SELECT DISTINCT {_three('value')} AS t FROM rf) GROUP BY t)"""
+
+
+def _refused(spark, d) -> DataFrame:
+    r = tb.records(spark, d).where("error IS NULL").where(F.col("declined") | F.coalesce(F.col("top_score") < 0, F.lit(True)))
+    return r.select("kind", "expects", (-5 + F.col("n_claims") * 3 + F.col("min_support")).alias("value"))
+
+
+@query(_with(tb.RECORDS, _CURVE) + "SELECT * FROM cv")
 def rescue_curve(spark, d):
-    return ev.rescue_curve(tb.records(spark, d).withColumnRenamed("min_support", "value"))
+    return ev.rescue_curve(_refused(spark, d))
+
+
+@query(_with(tb.RECORDS, _CURVE) + "SELECT * FROM cv WHERE broken = 0 AND fixed > 0 ORDER BY fixed DESC, threshold LIMIT 1")
+def best_rescue(spark, d):
+    return ev.best_rescue(ev.rescue_curve(_refused(spark, d)))
 
 
 # -- records
@@ -460,7 +475,6 @@ def class_totals(spark, d):
     return lr.class_totals(scores, lr.class_overview(scores, track, ok))
 
 
-_three = "CAST(format('{{:.3f}}', {}) AS DOUBLE)".format
 _BUCKETS = f"bu AS (SELECT learner, confidence, n, {_three('(confidence - 1) / 3')} AS stated, {_three('a')} AS actual, {_three('a - (confidence - 1) / 3')} AS gap FROM (SELECT learner, confidence, count(*) AS n, avg(score) AS a FROM attempts GROUP BY ALL))"
 
 
@@ -485,21 +499,6 @@ def review_stats(spark, d):
     return lr.review_stats(tb.reviews(spark, d))
 
 
-_SEV = "CAST(CASE WHEN list_contains(flags, 'UNGROUNDED_KEY_POINT') THEN 2 WHEN len(flags) > 0 THEN 1 ELSE 0 END AS INTEGER)"
-
-
-@query(_with(tb.REVIEWS) + f"SELECT item_id, status, {_SEV} AS severity, CAST(coalesce(len(flags), 0) AS INTEGER) AS n_flags FROM reviews ORDER BY severity DESC, n_flags DESC, item_id LIMIT 200")
-def review_queue(spark, d):
-    r = tb.reviews(spark, d)
-    q = r.select("item_id", "status", lr.severity(F.col("flags")).alias("severity"), F.coalesce(F.size("flags"), F.lit(0)).alias("n_flags"))
-    return q.withColumn("n_flags", F.greatest("n_flags", F.lit(0))).orderBy(F.desc("severity"), F.desc("n_flags"), "item_id").limit(200)
-
-
-@query(_with(tb.REVIEWS) + "SELECT item_id, CASE WHEN flags IS NULL THEN 'unchecked' WHEN len(flags) = 0 THEN 'approve' ELSE 'flagged' END AS decision FROM reviews")
-def bulk_unflagged(spark, d):
-    return tb.reviews(spark, d).select("item_id", lr.bulk_decision(F.col("flags")).alias("decision"))
-
-
 _GSTOP = "[" + ", ".join(f"'{w}'" for w in tx.GRADING_STOP) + "]"
 
 
@@ -507,16 +506,6 @@ def _gt(x: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z]{{3,}}'), lambda t: NOT list_contains({_GSTOP}, t)))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda s: length(s) > 0)) AS l FROM documents),
-p AS (SELECT doc_id, unnest(l[1:3]) AS point, l[2:4] AS claims FROM (SELECT doc_id, list_sort(l) AS l FROM t))
-SELECT doc_id, count(*) FILTER (WHERE hit) AS covered, count(*) FILTER (WHERE NOT hit) AS missed FROM (
-SELECT doc_id, len(list_filter(claims, lambda x: CASE WHEN len({_gt('x')}) = 0 OR len({_gt('point')}) = 0 THEN false ELSE len(list_intersect({_gt('x')}, {_gt('point')})) / len({_gt('point')}) >= 0.5 END)) > 0 AS hit FROM p) GROUP BY 1""")
-def grade_reconcile(spark, d):
-    docs = src.table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split("text", "\n"), lambda s: F.length(s) > 0))).alias("l"))
-    r = docs.select("doc_id", lr.reconcile(F.slice("l", 1, 3), F.slice("l", 2, 3)).alias("r"), F.size("l").alias("n")).where("n > 0")
-    return r.select("doc_id", F.size("r.covered").cast("long").alias("covered"), F.size("r.missed").cast("long").alias("missed"))
-
-
 @query(f"""WITH t AS (SELECT doc_id, text, list_sort(list_distinct(list_filter(string_split(text, chr(10)), lambda s: length(s) > 0))) AS l FROM documents),
 c AS (SELECT doc_id, unnest(l[1:-:2]) AS point, list_transform(l[2:-:2], lambda x: {_gt('x')}) AS missed FROM t),
 h AS (SELECT doc_id, len(list_filter(missed, lambda x: len(list_intersect(x, {_gt('point')})) / greatest(len({_gt('point')}), 1) >= 0.5)) > 0 AS hit FROM c),
@@ -549,11 +538,6 @@ def corpus_counts(spark, d):
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))
 
 
-@query(_with(tb.CHUNKS) + "SELECT pub_id, count(*) AS n, round_even(100.0 * avg(CASE WHEN n_chars >= 80 THEN 1 ELSE 0 END), 1) AS pct_long, CAST(floor(median(n_chars)) AS INTEGER) AS mid_chars FROM chunks GROUP BY 1")
-def chunk_report(spark, d):
-    return tb.chunks(spark, d).groupBy("pub_id").agg(F.count(F.lit(1)).alias("n"), F.bround(100.0 * F.avg((F.col("n_chars") >= 80).cast("double")), 1).alias("pct_long"), F.floor(F.median("n_chars")).cast("int").alias("mid_chars"))
-
-
 @query(_with(tb.CHUNKS) + "SELECT doc, island, pos, text FROM (SELECT doc, island, max(l) AS has, max(pos) AS pos, string_agg(text, ' ' ORDER BY pos) AS text FROM (SELECT chapter AS doc, pos, text, CASE WHEN n_chars >= 80 THEN 1 ELSE 0 END AS l, CAST(coalesce(sum(CASE WHEN n_chars >= 80 THEN 1 ELSE 0 END) OVER (PARTITION BY chapter ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS island FROM chunks) GROUP BY ALL) WHERE has = 1")
 def short_carry(spark, d):
     return lay.carry_short(tb.chunks(spark, d).select(F.col("chapter").alias("doc"), "pos", "text")).select("doc", "island", "pos", "text")
@@ -730,11 +714,14 @@ def answer_metrics(spark, d):
     return ev.answer_metrics(r.select("kind", (F.col("id") % 4 == 0).alias("expects_answer"), (F.col("declined") | F.coalesce(F.col("top_score") < 0, F.lit(True))).alias("abstained"), F.when(F.col("id") % 5 != 0, F.col("id") % 3 == 0).alias("cited_relevant"), (F.col("n_claims") > 0).alias("has_citation")))
 
 
-@query(r"""WITH r AS (SELECT conv_id, turn, 'Sure: {"question": " ' || regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') || '", "key_points": [" a ", "", "b", "c", "d"]} done' AS raw FROM conversations),
-j AS (SELECT conv_id, turn, trim(json_extract_string(regexp_extract(raw, '(?s)\{.*\}'), '$.question')) AS question FROM r)
-SELECT conv_id, turn, question, ['a', 'b', 'c'] AS key_points FROM j WHERE length(question) >= 15""")
+@query(r"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') AS p FROM conversations),
+r AS (SELECT *, 'Sure: {"question": " ' || p || '", "key_points": [" turn ' || turn || ' ", "", "' || p || '", "' || role || '", "more"]} done' AS raw FROM c),
+j AS (SELECT *, regexp_extract(raw, '(?s)\{.*\}') AS j FROM r)
+SELECT conv_id, turn, trim(json_extract_string(j, '$.question')) AS question, list_filter(list_transform(CAST(json_extract(j, '$.key_points') AS VARCHAR[]), lambda k: trim(k)), lambda k: k <> '')[1:3] AS key_points FROM j WHERE length(trim(json_extract_string(j, '$.question'))) >= 15""")
 def item_parse(spark, d):
-    raw = F.concat(F.lit('Sure: {"question": " '), F.regexp_replace("text", "[^A-Za-z0-9]+", " "), F.lit('", "key_points": [" a ", "", "b", "c", "d"]} done'))
+    """Noisy model text around JSON made of each turn: blanks, an empty point, more points than are kept."""
+    plain = F.regexp_replace("text", "[^A-Za-z0-9]+", " ")
+    raw = F.concat(F.lit('Sure: {"question": " '), plain, F.lit('", "key_points": [" turn '), F.col("turn").cast("string"), F.lit(' ", "", "'), plain, F.lit('", "'), F.col("role"), F.lit('", "more"]} done'))
     got = src.table(spark, d, "conversations").select("conv_id", "turn", tx.item_json(raw).alias("i"))
     return got.where("i IS NOT NULL").select("conv_id", "turn", "i.question", "i.key_points")
 
@@ -752,7 +739,10 @@ def query_phrases(spark, d):
 def presuppositions(spark, d):
     from ..operators import language
 
-    return src.table(spark, d, "conversations").select("conv_id", "turn", F.explode(language.presuppositions("text")).alias("p")).select("conv_id", "turn", "p.*")
+    turn = F.col("turn").cast("string")
+    asked = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("What are the "), turn, F.lit(" phases of planning? "))).when(F.col("turn") % 4 == 1, F.concat(F.lit("According to the 201"), F.col("turn") % 10, F.lit(" Field Guide, what is the dose? "))).when(F.col("turn") % 4 == 2, F.concat(F.lit("What does the 3rd edition say on page "), turn, F.lit("? "))).otherwise("")
+    said = src.table(spark, d, "conversations").select("conv_id", "turn", F.concat(asked, "text").alias("q"))
+    return said.select("conv_id", "turn", F.explode(language.presuppositions("q")).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @query()
@@ -776,4 +766,4 @@ def answer_specifics(spark, d):
     return t.select("conv_id", "turn", specifics.specifics_verdict("text", "before", F.array("before")).alias("v")).select("conv_id", "turn", F.size("v.unsupported").alias("unsupported"), "v.refuse", "v.reason")
 
 
-from . import further  # noqa: E402, F401  (adds its queries to the tables above)
+from . import further, study  # noqa: E402, F401  (add their queries to the tables above)

@@ -73,32 +73,33 @@ def outline_levels(spark, d):
     return lay.outline_levels(o.select(F.col("page_id").alias("doc"), F.when(F.col("tag") == "li", 2).otherwise(1).alias("level")))
 
 
-_CONTENTS = r"""contents AS (SELECT page_id AS doc, 'Contents' || chr(10) || string_agg('Chapter ' || (block_no % 3 + 1) || '.' || chr(10) || substr(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), 1, 40) || ' x' || chr(10) ||
-  'First part—' || chr(10) || regexp_replace(substr(text, 1, 60), '[^a-zA-Z]+', '--', 'g') || '— .', chr(10) ORDER BY block_no) AS text FROM blocks WHERE tag IN ('h1', 'p') GROUP BY 1),
+_CONTENTS = r"""contents AS (SELECT page_id AS doc, 'Contents' || chr(10) || string_agg('Chapter ' || (block_no % 3 + 1) || '.' || chr(10) || regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') || ' x' || chr(10) ||
+  'First part—' || chr(10) || regexp_replace(text, '[^a-zA-Z]+', '--', 'g') || '— .', chr(10) ORDER BY block_no) AS text FROM blocks WHERE tag IN ('h1', 'p') GROUP BY 1),
 en AS (SELECT doc, unnest(l) AS e, generate_subscripts(l, 1) AS nr FROM (SELECT doc, string_split(text, 'Chapter ')[2:] AS l FROM contents)),
 sp AS (SELECT doc, nr, CAST(regexp_extract(e, '^(\d+)', 1) AS INTEGER) AS chapter, trim(regexp_extract(e, '^\d+\.?\s*\n\s*([^\n]{3,80})\n', 1)) AS title,
-  list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace(e, '^\d+\.?\s*\n\s*[^\n]{3,80}\n', ''), '\s*\n\s*', ' ', 'g')), '\s*[—–]+\s*|\s*-{2,}\s*'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'), ' .-—')), lambda s: length(s) BETWEEN 3 AND 69) AS sections FROM en)"""
+  list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace(e, '^\d+\.?\s*\n\s*[^\n]{3,80}\n', ''), '\s*\n\s*', ' ', 'g')), '\s*[—–]+\s*|\s*-{2,}\s*'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'), ' .-—')), lambda s: length(s) BETWEEN 3 AND 69) AS sections FROM en WHERE regexp_matches(e, '^\d+\.?\s*\n\s*[^\n]{3,80}\n'))"""
 
 
 @query(_with(tb.BLOCKS, _CONTENTS) + "SELECT doc, chapter, title, sections FROM (SELECT *, row_number() OVER (PARTITION BY doc, chapter ORDER BY len(sections) DESC, nr) AS r FROM sp) WHERE r = 1")
 def printed_contents(spark, d):
     b = tb.blocks(spark, d).where("tag IN ('h1', 'p')")
     plain = lambda x, s: F.regexp_replace(x, "[^a-zA-Z]+", s)
-    part = F.concat(F.lit("Chapter "), (F.col("block_no") % 3 + 1).cast("string"), F.lit(".\n"), F.substring(plain("text", " "), 1, 40), F.lit(" x\nFirst part—\n"), plain(F.substring("text", 1, 60), "--"), F.lit("— ."))
+    part = F.concat(F.lit("Chapter "), (F.col("block_no") % 3 + 1).cast("string"), F.lit(".\n"), plain("text", " "), F.lit(" x\nFirst part—\n"), plain("text", "--"), F.lit("— ."))
     g = b.groupBy(F.col("page_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("block_no", part.alias("t")))).alias("p"))
     return lay.printed_contents(g.select("doc", F.lit(0).alias("page"), F.concat(F.lit("Contents\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("text")))
 
 
-_HEADS = """heads AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN upper(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 30)) || ' 10 IN 5' WHEN 1 THEN 'OI  May 2026' WHEN 2 THEN 'Notes' WHEN 3 THEN substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 3) ELSE substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 30) END AS h FROM documents)"""
+_HEADS = """heads AS (SELECT id, CASE id % 5 WHEN 0 THEN upper(t) || ' 10 IN 5' WHEN 1 THEN 'OI  May 2026' WHEN 2 THEN 'Notes' WHEN 3 THEN t || ' (continued)' ELSE t END AS h FROM (SELECT id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM chunks))"""
 
 
-@query(_with(_HEADS, r"k AS (SELECT doc_id, h, trim(regexp_replace(h, '\s+', ' ', 'g')) AS t, regexp_replace(h, '[^\p{L}]', '', 'g') AS l FROM heads)") + r"""SELECT doc_id,
+@query(_with(tb.CHUNKS, _HEADS, r"k AS (SELECT id, h, trim(regexp_replace(h, '\s+', ' ', 'g')) AS t, regexp_replace(h, '[^\p{L}]', '', 'g') AS l FROM heads)") + r"""SELECT id,
 CASE WHEN length(l) > 0 AND length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) >= 0.75 * length(l) THEN array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace(translate(t, '0158', 'OISB'), '\s+', ' ', 'g'))), '\p{L}+|[^\p{L}]+'), lambda r: upper(r[1]) || substr(r, 2)), '') ELSE t END AS heading,
 regexp_matches(trim(h), '^[\dOoIl]{1,2}\s+\w{3,9}\s+[\dOoIl]{4}$') OR length(trim(h)) < 4 OR NOT regexp_matches(trim(h), '\p{L}') OR lower(trim(h)) IN ('and', 'or', 'note', 'notes', 'continued') AS noise FROM k""")
 def heading_cleanup(spark, d):
-    n, plain = F.col("doc_id") % 5, F.regexp_replace("text", "[^ -~]", "")
-    h = F.when(n == 0, F.concat(F.upper(F.substring(plain, 1, 30)), F.lit(" 10 IN 5"))).when(n == 1, "OI  May 2026").when(n == 2, "Notes").when(n == 3, F.substring(plain, 1, 3)).otherwise(F.substring(plain, 1, 30))
-    return src.table(spark, d, "documents").select("doc_id", h.alias("h")).select("doc_id", lay.clean_heading("h").alias("heading"), lay.heading_noise("h").alias("noise"))
+    """Every line of every document as a heading, whole."""
+    n, plain = F.col("id") % 5, F.regexp_replace("text", "[^ -~]", "")
+    h = F.when(n == 0, F.concat(F.upper(plain), F.lit(" 10 IN 5"))).when(n == 1, "OI  May 2026").when(n == 2, "Notes").when(n == 3, F.concat(plain, F.lit(" (continued)"))).otherwise(plain)
+    return tb.chunks(spark, d).select("id", h.alias("h")).select("id", lay.clean_heading("h").alias("heading"), lay.heading_noise("h").alias("noise"))
 
 
 @query(r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, CASE WHEN len(k) > 0 THEN k ELSE [text] END AS l FROM (
@@ -144,19 +145,6 @@ def seeded_sample(spark, d):
 
 # -- answers, evaluation, tuning
 
-@query("""WITH h AS (SELECT item_id, b.text AS question, doc_id, source, substr(d.text, 1, 200) AS t, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS r FROM benchmark b JOIN documents d ON d.doc_id % 40 = item_id % 40)
-SELECT item_id, 'SOURCES:' || chr(10) || chr(10) || string_agg('[' || r || '] ' || source || chr(10) || t, chr(10) || chr(10) ORDER BY r) || chr(10) || chr(10) || chr(10) || 'QUESTION: ' || any_value(question) AS prompt FROM h WHERE r <= 3 GROUP BY 1""")
-def prompt_assembly(spark, d):
-    from pyspark.sql import Window
-
-    docs = src.table(spark, d, "documents").select((F.col("doc_id") % 40).alias("k"), "doc_id", F.col("source").alias("citation"), F.substring("text", 1, 200).alias("text"))
-    best = docs.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))).where("r <= 3")
-    packed = best.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "citation", "text"))), lambda s: F.struct(s["citation"], s["text"])).alias("s"))
-    packed = packed.select("k", F.col("s").cast("array<struct<citation:string,text:string>>").alias("s"))
-    q = src.table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), F.col("text").alias("question"))
-    return q.join(packed, "k").select("item_id", gates.prompt(F.col("question"), F.col("s")).alias("prompt"))
-
-
 @query(f"""WITH {_BM25}, {_OVER}, {_FUSED}
 SELECT query_id AS item_id, 'SOURCES:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || source || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || chr(10) || 'QUESTION: ' || any_value(b.text) AS prompt
 FROM hy JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 8 GROUP BY 1""")
@@ -213,13 +201,6 @@ def canonical_records(spark, d):
     return rec.canonical(tb.records(spark, d), ["kind", "id", "error", "n_claims"]).select("id", F.sha2("canonical", 256).alias("digest"))
 
 
-@query("SELECT event_id, CAST(coalesce((SELECT max(event_id) FROM events WHERE event_id < 100), 0) + row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS seq FROM events WHERE event_type = 'error' AND event_id >= 100")
-def sequence_numbers(spark, d):
-    e = src.table(spark, d, "events")
-    new = e.where("event_type = 'error' AND event_id >= 100").select("event_id", "ts")
-    return rec.with_seq(new, e.where("event_id < 100").select(F.col("event_id").alias("seq")), ["ts", "event_id"]).select("event_id", F.col("seq").cast("long").alias("seq"))
-
-
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
 def sequence_numbers_all(spark, d):
     e = src.table(spark, d, "events").select("event_id", "ts")
@@ -242,15 +223,24 @@ def event_windows(spark, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.REVIEW_STOP) + "]"
 
 
-@query(_with(_NOTED) + f"""SELECT doc_id, list_concat(CASE WHEN length(trim(q)) < 25 OR NOT contains(q, '?') AND NOT regexp_matches(q, '(?i)^\\s*(describe|explain|list|name|identify|state|define|compare|contrast|summari[sz]e|outline|discuss|give|provide|distinguish)') OR len(k) < 2 THEN ['SHAPE'] ELSE [] END,
-list_concat(CASE WHEN len(k) > 0 AND len(t) > 0 AND len(list_intersect(t, k)) / len(list_distinct(k)) >= 0.6 THEN ['ANSWER_LEAKED'] ELSE [] END, CASE WHEN doc_id % 6 < 5 THEN ['SOURCE_NOT_TEACHABLE'] ELSE [] END)) AS flags FROM (
-SELECT doc_id, q, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS t, list_filter(regexp_extract_all(lower(p), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS k FROM (
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Explain ' ELSE '' END || substr(d.text, 1, 20 + doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN '?' ELSE '' END AS q, substr(d.text, 1 + doc_id % 30, 30) AS p FROM documents d))""")
+_ITEMS = """mk AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'Explain ' ELSE '' END || text || CASE WHEN id % 3 = 0 THEN '?' ELSE '' END AS q, coalesce(lead(text) OVER (PARTITION BY chapter ORDER BY pos), text) AS p, CASE WHEN id % 6 = 0 THEN '7. Ibid., p. 1-6. ' || text ELSE text END AS s FROM chunks)"""
+
+
+def _asked(spark, d):
+    """Every line as a question, the next line as its key point, the line itself as the source, some under a note's head."""
+    from pyspark.sql import Window
+
+    n, t = F.col("id") % 12, F.col("text")
+    q = F.concat(F.when(n % 4 == 0, "Explain ").otherwise(""), t, F.when(n % 3 == 0, "?").otherwise(""))
+    after = F.coalesce(F.lead("text").over(Window.partitionBy("chapter").orderBy("pos")), t)
+    return tb.chunks(spark, d).select("id", q.alias("q"), after.alias("p"), F.when(n % 6 == 0, F.concat(F.lit("7. Ibid., p. 1-6. "), t)).otherwise(t).alias("s"))
+
+
+@query(_with(tb.CHUNKS, _ITEMS) + f"""SELECT id, list_concat(CASE WHEN length(trim(q)) < 25 OR NOT contains(q, '?') AND NOT regexp_matches(q, '{lr.IMPERATIVE}') OR len(k) < 2 THEN ['SHAPE'] ELSE [] END,
+list_concat(CASE WHEN len(k) > 0 AND len(t) > 0 AND len(list_intersect(t, k)) / len(list_distinct(k)) >= 0.6 THEN ['ANSWER_LEAKED'] ELSE [] END, CASE WHEN id % 6 = 0 THEN ['SOURCE_NOT_TEACHABLE'] ELSE [] END)) AS flags FROM (
+SELECT id, q, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS t, list_filter(regexp_extract_all(lower(p), '[a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w)) AS k FROM mk)""")
 def precheck_flags(spark, d):
-    t, n = F.col("text"), F.col("doc_id")
-    q = F.concat(F.when(n % 4 == 0, "Explain ").otherwise(""), F.substring(t, F.lit(1), (20 + n % 40).cast("int")), F.when(n % 3 == 0, "?").otherwise(""))
-    docs = src.table(spark, d, "documents").select("doc_id", q.alias("q"), F.array(F.substring(t, (1 + n % 30).cast("int"), F.lit(30))).alias("p"))
-    return docs.join(_noted(spark, d), "doc_id").select("doc_id", lr.precheck(F.col("q"), F.col("p"), F.col("text")).alias("flags"))
+    return _asked(spark, d).select("id", lr.precheck(F.col("q"), F.array("p"), F.col("s")).alias("flags"))
 
 
 _SECTIONS = "sec AS (SELECT DISTINCT pub_id, CASE WHEN chapter % 3 > 0 THEN chapter END AS chapter, section FROM chunks)"

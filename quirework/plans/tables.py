@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import maths
 from ..sources import tables as src
 
 
@@ -22,7 +23,7 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
     e = src.table(spark, d, "events")
     verdict = F.when(F.col("event_type").isin("purchase", "signup"), "correct").when(F.col("event_type") == "error", "incorrect").otherwise("partial")
     at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    score = F.when(verdict == "correct", 1.0).when(verdict == "incorrect", 0.0).otherwise(0.5)
+    score = maths.verdict_score(verdict)
     return e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("learner"), F.get_json_object("props", "$.k").cast("int").alias("item_id"), verdict.alias("verdict"), score.alias("score"), (1 + F.col("event_id") % 4).cast("int").alias("confidence"), at.alias("at"))
 
 
