@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder
+
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none and runs on one machine, as in tests, a folder of this machine is used;
-    on a cluster without the setting this raises, as no other folder is known to be shared.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quirework-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 class _Made(threading.local):
     """Places of the tables that :func:`saved` wrote in this thread and nobody deleted, oldest first."""
 
@@ -41,7 +25,7 @@ _made = _Made()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/quirework/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/quirework/{name}-{uuid.uuid4().hex}"
     _made.places.append(path)
     return path
 
