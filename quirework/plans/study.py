@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Gates, Search
 from ..functions import maths
 from ..functions import text as tx
-from ..operators import bank
+from ..operators import answering, bank
 from ..operators import grounding as gr
 from ..operators import layout as lay
 from ..operators import learning as lr
@@ -20,7 +21,7 @@ from ..sources import shared
 from ..sources import tables as src
 from ..streaming import schedule
 from . import tables as tb
-from .catalog import SQL, _ct, _supports, _SUPPORT, _with, query
+from .catalog import _BM25, _OVER, _SUPPORT, SQL, _ct, _reranked, _reranked_sql, _supports, _with, query
 from .further import _ENDNOTE
 
 # -- items: generation, checks, review, track
@@ -271,3 +272,19 @@ def tagged_records(spark, d):
 def marked_answers(spark, d):
     s = _supports(spark, d).withColumn("sentence", F.concat(F.lit("sentence "), F.col("sent_no").cast("string")))
     return gr.rewritten(s, 0.5)
+
+
+# -- questions to answers
+
+_ANSWERED = f"""top AS (SELECT query_id, count(*) AS n, arg_min(rerank_score, rank) AS top_score, arg_min(source, rank) AS citation, arg_min(text, rank) AS body FROM rr JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY 1),
+aa AS (SELECT item_id AS query_id, top_score, citation, CASE WHEN n IS NULL THEN 'no_results' WHEN top_score IS NULL OR top_score < 0.5 THEN 'low_retrieval_score' END AS gate,
+  CASE WHEN length(body) < 40 THEN 'NOT_IN_SOURCES' ELSE string_split(regexp_replace(trim(body), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))[1] || ' [1]' END AS said FROM benchmark LEFT JOIN top ON query_id = item_id)"""
+
+
+@query(f"WITH {_BM25}, {_OVER}, {_reranked_sql(8)}, {_ANSWERED} SELECT query_id, top_score, r AS reason, CASE WHEN r IS NULL THEN said END AS answer, CASE WHEN r IS NULL THEN [citation] END AS cited FROM (SELECT *, coalesce(gate, CASE WHEN contains(said, 'NOT_IN_SOURCES') THEN 'model_declined' END) AS r FROM aa)")
+def answered_questions(spark, d):
+    """Every question through retrieval, scoring, the gates and a stand-in generator."""
+    q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("citation"), "text")
+    hits = docs.join(_reranked(spark, d, Search().final_k).select("query_id", "doc_id", "rank", "rerank_score", F.col("first_score").alias("bm25_score")), "doc_id")
+    return answering.answer(answering.assembled(q, hits), answering.extractive, Gates(score=0.5))

@@ -137,3 +137,60 @@ def test_dense_grid_equals_a_plain_search(spark):
     for options in ({}, {"rows": 7, "query_rows": 3, "group_bytes": 200}):
         assert {tuple(r) for r in rt.dense(df, q, 4, **options).collect()} == want
     assert rt.dense(df, q.limit(0), 4).count() == 0
+
+
+def test_answers_stand_only_with_a_marker_that_names_a_source(spark):
+    from quirework.config import Gates
+    from quirework.operators import answering
+
+    q = spark.createDataFrame([(i, f"q{i}") for i in range(1, 7)], "query_id int, question string")
+    long = "A sentence that is long enough to be factual."
+    hits = spark.createDataFrame([(1, 1, 4.0, -2.0, "P 1", long), (1, 2, 3.0, None, "P 2", "y"), (2, 1, 1.0, None, "P 1", long), (3, 1, 5.0, None, "P 1", "short"), (4, 1, 5.0, None, "P 4", "fails"), (5, 1, 5.0, None, "P 5", "uncited")], "query_id int, rank int, rerank_score double, bm25_score double, citation string, text string")
+    made = answering.assembled(q, hits)
+
+    def generator(prompt, sources):
+        t = F.get(sources, 0)["text"]
+        return F.when(t == "fails", F.lit(None)).when(t == "uncited", long).otherwise(answering.extractive(prompt, sources))
+
+    got = {r.query_id: (r.reason, r.answer, r.cited) for r in answering.answer(made, generator, Gates(score=3.0)).collect()}
+    assert got == {1: (None, f"{long} [1]", ["P 1"]), 2: ("low_retrieval_score", None, None), 3: ("model_declined", None, None), 4: ("model_unavailable", None, None), 5: ("uncited_answer", None, None), 6: ("no_results", None, None)}
+    rescued = answering.answer(made.where("query_id = 1"), answering.extractive, Gates(score=4.5, rescue=1.5)).first()
+    assert rescued.reason is None
+
+
+def test_refused_batches_are_halved_and_texts_shortened():
+    from quirework.operators import scoring as sc
+
+    sizes = []
+
+    def call(texts):
+        sizes.append(len(texts))
+        if len(texts) > 2 or any(len(t) > 600 for t in texts):
+            raise sc.Refused
+        return [(i, len(t)) for i, t in reversed(list(enumerate(texts)))]
+
+    out, cut = sc.embed_all(["a", "bb", "c" * 1000, "dddd", "e"], call)
+    assert out == [1, 2, 500, 4, 1] and cut == {2: 500} and sizes[0] == 5
+    assert sc.embed_all([], call) == ([], {})
+    with pytest.raises(sc.Refused):
+        sc.embed_all(["x" * 400], lambda t: (_ for _ in ()).throw(sc.Refused()))
+    tried = []
+
+    def rank(query, docs):
+        tried.append(max(map(len, docs)))
+        if tried[-1] > 200:
+            raise sc.Refused
+        return [(1, 2.0), (0, 1.0)]
+
+    assert sc.rerank_scores("q", ["a" * 900, "b"], rank) == [1.0, 2.0] and tried == [700, 350, 175] and sc.rerank_scores("q", [], rank) == []
+
+
+def test_settings_file(tmp_path):
+    from quirework import config
+
+    (tmp_path / "a.json").write_text('{"search": {"final_k": 5}, "gates": {"score": null}}')
+    search, gates = config.load(str(tmp_path / "a.json"))
+    assert (search.final_k, search.bm25_k, gates.score) == (5, 50, None)
+    (tmp_path / "b.json").write_text('{"gates": {"scores": 1}}')
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "b.json"))
