@@ -726,13 +726,20 @@ def item_parse(spark, d):
     return got.where("i IS NOT NULL").select("conv_id", "turn", "i.question", "i.key_points")
 
 
-# -- sequential text logic: no SQL form; tests/test_language.py holds it against fixtures
+# -- sequential text logic; where there is no SQL form, tests/test_language.py holds it against fixtures
 
-@query()
+_ASKED = "aq AS (SELECT item_id, 'MCDP 1-0, p. 5 -- chapter ' || item_id || ' of FM 3-' || (item_id % 7) || '.2x: ' || text || ' 7' AS text FROM benchmark UNION ALL SELECT -1, '-- ?!')"
+
+
+@query(f"WITH {_ASKED}, {ls.phrases('aq')} SELECT item_id, coalesce(list(string_split(p, ' ') ORDER BY spot) FILTER (WHERE p IS NOT NULL), []) AS phrases FROM aq LEFT JOIN qp USING (item_id) GROUP BY 1")
 def query_phrases(spark, d):
+    """Search phrases of every question, publications and chapters named before it; and of one without a word."""
     from ..operators import language
 
-    return src.table(spark, d, "benchmark").select("item_id", language.query_phrases("text").alias("phrases"))
+    text = F.concat(F.lit("MCDP 1-0, p. 5 -- chapter "), F.col("item_id").cast("string"), F.lit(" of FM 3-"), (F.col("item_id") % 7).cast("string"), F.lit(".2x: "), "text", F.lit(" 7"))
+    asked = src.table(spark, d, "benchmark").select("item_id", text.alias("text"))
+    odd = spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit("-- ?!").alias("text"))
+    return asked.unionByName(odd).select("item_id", language.query_phrases("text").alias("phrases"))
 
 
 @query()
@@ -745,7 +752,8 @@ def presuppositions(spark, d):
     return said.select("conv_id", "turn", F.explode(language.presuppositions("q")).alias("p")).select("conv_id", "turn", "p.*")
 
 
-@query()
+@query(rf"""WITH tv AS MATERIALIZED (SELECT term, count(*) AS n FROM (SELECT unnest({_TOK('text')}) AS term FROM documents) GROUP BY 1),
+{ls.stems('tv', 'ts')} SELECT stem, count(*) AS forms, CAST(sum(n) AS BIGINT) AS n FROM tv JOIN ts USING (term) GROUP BY 1""")
 def stemmed_vocabulary(spark, d):
     from ..operators import language
 
