@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import LIMITS
+
 # Lists that results depend on.
 REVIEW_STOP = "a an and are as at be by for from has have how in is it its of on or that the their they this to was were what when where which who why will with you your does do".split()
 GRADING_STOP = ["the", "and", "for", "that", "with", "his", "her", "its", "are", "was", "not", "but", "can", "our", "war", "from", "this", "into", "than"]
@@ -154,3 +156,13 @@ def source_sentences(x) -> Column:
     t = F.coalesce(c(x), F.lit(""))
     parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 25)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(t))
+
+
+def limited(x, what: str) -> Column:
+    """At most as many characters as the limit of that name allows."""
+    return F.left(c(x), F.lit(LIMITS[what]))
+
+
+def event_frame(event, data) -> Column:
+    """One server-sent event; every line of ``data`` is a data line of its own."""
+    return F.concat(F.lit("event: "), c(event), F.lit("\ndata: "), F.regexp_replace(c(data), r"\r?\n", "\ndata: "), F.lit("\n\n"))

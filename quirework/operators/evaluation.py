@@ -181,3 +181,21 @@ def label_match(hits: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("query_id", F.lit(True).alias("_known")).distinct()
     met = hits.withColumn("_s", key).join(both, ["query_id", "pub_id", "_s"], "left").join(pubs, ["query_id", "pub_id"], "left").join(known, "query_id", "left")
     return met.select(*hits.columns, F.coalesce("_both", F.lit(False)).alias("relevant"), F.when(F.col("_known"), F.coalesce("_pub", F.lit(False))).alias("cited_relevant"))
+
+
+def scored_questions(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(questions that retrieval is scored on, ids that are skipped): marked for it and with at least one label."""
+    ok = F.coalesce("score_retrieval", F.lit(False)) & (F.coalesce(F.size("labels"), F.lit(0)) > 0)
+    return questions.where(ok), questions.where(~ok).select("query_id")
+
+
+def probes(questions: DataFrame, decisions: DataFrame, signals: DataFrame) -> DataFrame:
+    """id, kind, expects, abstained, value of questions that an earlier run decided (others are left out), with their best lexical signal or null."""
+    met = questions.join(decisions.select("id", "abstained"), "id").join(signals.groupBy("id").agg(F.max("bm25").alias("value")), "id", "left")
+    trap = (F.col("kind") == "out") & F.coalesce("expects", F.lit(False))
+    return met.select("id", "kind", trap.alias("expects"), F.coalesce("abstained", F.lit(False)).alias("abstained"), "value")
+
+
+def bag(inside: DataFrame, outside: DataFrame) -> DataFrame:
+    """Questions of both sets with their kind."""
+    return inside.withColumn("kind", F.lit("in")).unionByName(outside.withColumn("kind", F.lit("out")))

@@ -9,6 +9,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 
 def with_seq(new: DataFrame, old: DataFrame, order: list[str]) -> DataFrame:
     """New rows numbered on from the highest seq.  One batch of appended rows; order by (seq, id) when reading.
@@ -41,8 +43,8 @@ def statements(interactions: DataFrame, base: str = "https://example.org/xapi")
     body = F.struct(
         F.struct(F.col("actor").alias("name")).alias("actor"),
         F.struct(F.concat(F.lit(f"{base}/verbs/"), verb).alias("id")).alias("verb"),
-        F.struct(F.substring("question", 1, 250).alias("name")).alias("object"),
-        F.struct(F.substring("answer_text", 1, 1000).alias("response"), F.col("answered").alias("success")).alias("result"),
+        F.struct(tx.limited("question", "name").alias("name")).alias("object"),
+        F.struct(tx.limited("answer_text", "response").alias("response"), F.col("answered").alias("success")).alias("result"),
     )
     return interactions.select("seq", F.to_json(body).alias("statement_json"))
 

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Gates, Search
+from ..config import LIMITS, Gates, Search
 from ..functions import maths
 from ..functions import text as tx
 from ..operators import answering, bank
+from ..operators import evaluation as ev
 from ..operators import grounding as gr
+from ..operators import language
 from ..operators import layout as lay
 from ..operators import learning as lr
 from ..operators import records as rec
@@ -260,12 +262,49 @@ def dehyphenated(spark, d):
     return lines.select("doc", F.md5(tx.dehyphenated(F.transform("ls", lambda x: x["l"]))).alias("digest"))
 
 
-@query(_with(tb.RECORDS) + "SELECT id, kind, top_score FROM records WHERE kind = 'in' UNION ALL SELECT id, 'out', top_score FROM records WHERE kind = 'out'")
+@query(_with(tb.RECORDS) + "SELECT id, kind, top_score FROM records")
 def tagged_records(spark, d):
     """In- and out-of-corpus questions in one bag, each with its kind."""
     r = tb.records(spark, d)
-    part = lambda k: r.where(F.col("kind") == k).select("id", F.lit(k).alias("kind"), "top_score")
-    return part("in").unionByName(part("out"))
+    part = lambda k: r.where(F.col("kind") == k).select("id", "top_score")
+    return ev.bag(part("in"), part("out")).select("id", "kind", "top_score")
+
+
+_PROBED = "pb AS (SELECT id, kind, kind = 'out' AND expects AS expects, declined AS abstained, value FROM records LEFT JOIN (SELECT doc_id AS id, max(strlen(l) / 10.0::DOUBLE) AS value FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS l FROM documents WHERE doc_id % 3 > 0) GROUP BY 1) USING (id) WHERE error IS NULL)"
+
+
+@query(_with(tb.RECORDS, _PROBED) + "SELECT * FROM pb")
+def rescue_probes(spark, d):
+    """Questions that were decided, with the best of several signals where there is one."""
+    r = tb.records(spark, d)
+    words = src.table(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.explode(F.split("text", " ")).alias("l"))
+    signals = words.select("id", (F.octet_length("l") / 10.0).alias("bm25"))
+    return ev.probes(r.select("id", "kind", "expects"), r.where("error IS NULL").select("id", F.col("declined").alias("abstained")), signals)
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0 AND role = 'user'")
+def scored_questions(spark, d):
+    labels = F.when(F.col("role") == "user", F.array("role")).otherwise(F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")))
+    q = src.table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3 == 0).alias("score_retrieval"), labels.alias("labels"))
+    return ev.scored_questions(q.withColumn("query_id", F.lit(0)))[0].select("conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) AS frame FROM conversations")
+def event_frames(spark, d):
+    return src.table(spark, d, "conversations").select("conv_id", "turn", tx.event_frame("role", "text").alias("frame"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"length(left(text, {n})) AS {k}" for k, n in LIMITS.items()) + " FROM documents")
+def text_limits(spark, d):
+    """How much of each whole text every limit keeps."""
+    return src.table(spark, d, "documents").select("doc_id", *[F.length(tx.limited("text", k)).cast("long").alias(k) for k in LIMITS])
+
+
+@query()
+def heading_matches(spark, d):
+    """Whole headings of all pages against a contents list (no SQL form: Ratcliff-Obershelp ratios)."""
+    h = tb.blocks(spark, d).where("tag IN ('h1', 'h2', 'title')").select("page_id", "block_no", F.col("text").alias("heading"))
+    return language.match_headings(h, ["La eau", "The end", "Der die das", "Contents"])
 
 
 @query(_with(_SUPPORT) + "SELECT query_id, string_agg(CASE WHEN support < 0.5 THEN 'sentence ' || sent_no || ' [UNSUPPORTED]' ELSE 'sentence ' || sent_no END, ' ' ORDER BY sent_no) AS answer FROM sup GROUP BY 1")
