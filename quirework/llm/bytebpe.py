@@ -32,11 +32,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Parts(dict):
-    """Part -> bytes of its ids, encoded when first asked for."""
+    """Part -> bytes of its ids, encoded when first asked for; ``held`` counts about how many bytes the table takes."""
 
     def __init__(self, tok, code: str):
         self.tok, self.model, self.code = tok, tok.model, code
         self.letters = _byte_letters()
+        self.held = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def __missing__(self, part: str) -> bytes:
         word = part[1:] if part[0] == " " else part
@@ -47,13 +52,14 @@ class _Parts(dict):
         raw = array(self.code, ids).tobytes()
         if len(part) <= 64:
             self[part] = raw
+            self.held += 200 + 2 * len(part) + len(raw)
         return raw
 
 
 class ByteBpe:
-    """Encodes texts to bytes of little-endian ids, ``width`` bytes each; ``limit`` bounds the table of parts."""
+    """Encodes texts to bytes of little-endian ids, ``width`` bytes each; ``limit`` bounds the bytes of the table of parts."""
 
-    def __init__(self, tokenizer_file: str, limit: int = 1_500_000):
+    def __init__(self, tokenizer_file: str, limit: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_file)
@@ -75,11 +81,11 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text (null: none)."""
-        if len(self.parts) >= self.limit:
-            self.parts.clear()
         known = self.parts.__getitem__
         out = []
         for t in texts:
+            if self.parts.held >= self.limit:
+                self.parts.clear()
             if not t:
                 out.append(b"")
             elif self._whole(t):
@@ -92,7 +98,7 @@ class ByteBpe:
 _encoders: dict[tuple[str, int], ByteBpe] = {}
 
 
-def encoder(tokenizer: str, limit: int = 1_500_000) -> ByteBpe:
+def encoder(tokenizer: str, limit: int = 96 << 20) -> ByteBpe:
     """One encoder for each worker process.  ``tokenizer``: a path, or the name of a public tokenizer's file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = (tokenizer, limit)

@@ -38,6 +38,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def _delete(spark: SparkSession, place: str) -> None:
+    if getattr(spark, "_jvm", None) is None:  # a remote session: the folder's owner clears it
+        return
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

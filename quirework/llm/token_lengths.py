@@ -18,7 +18,7 @@ BLOCK = 256
 
 
 def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
-    """n_tokens of every row's whole text; null and empty texts have 0."""
+    """n_tokens of every row's whole text; null and empty texts have 0.  Repeated rows count each; an empty table gives none."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
