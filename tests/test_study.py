@@ -194,3 +194,15 @@ def test_settings_file(tmp_path):
     (tmp_path / "b.json").write_text('{"gates": {"scores": 1}}')
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "b.json"))
+
+
+def test_lines_are_appended_once(spark, tmp_path):
+    from quirework.streaming import sinks
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    for k in range(2):
+        rows.withColumn("x", F.col("x") + 10 * k).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        sinks.append_lines(stream, str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True).awaitTermination(120)
+    got = src.json_lines(spark, str(tmp_path / "out"), rows.schema).collect()
+    assert sorted((r.x, r.y) for r in got) == [(1, "a"), (2, None), (11, "a"), (12, None)]
