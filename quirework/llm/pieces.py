@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,6 @@ class PieceCodec:
         for piece, i in self.ids.items():
             self.auto.add_word(piece, (len(piece), piece))
         self.auto.make_automaton()
-        self.lengths = {piece: len(piece) for piece in self.ids}
         self.compatible = Memo(lambda ab: self.merge(ab[0] + ab[1]) == list(ab), lambda ab, _: 300, limit // 4)
         self.own: dict[str, bool] = {}  # one entry a piece at most
         self.parts = Memo(self._joined, lambda p, x: 200 + 2 * len(p) + len(x) if len(p) <= 64 else 0, limit)
@@ -265,10 +265,15 @@ def encode_checked(docs: DataFrame, keep: list[str], model: str = "piece_bpe_32k
 
     def run(texts: pa.Array) -> pa.Array:
         c = codec(_model_path(model))
-        plain = [t or "" for t in texts.to_pylist()]
-        ids = [c.encode(t) for t in plain]
-        back = [c.decode(x) == t for x, t in zip(ids, plain, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(back)], names=["ids", "n_tokens", "round_trip"])
+        ids, n, back = [], [], []
+        for t in texts:  # one text as Python objects at a time
+            t = t.as_py() or ""
+            x = c.encode(t)
+            n.append(len(x))
+            back.append(c.decode(x) == t)
+            ids.append(np.array(x, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([lists, pa.array(n, pa.int64()), pa.array(back, pa.bool_())], names=["ids", "n_tokens", "round_trip"])
 
     coded = docs.select(*[f"`{c}`" for c in keep], F.arrow_udf(run, "ids array<int>, n_tokens long, round_trip boolean")(F.col(f"`{text}`")).alias(own))
     return coded.select(*[f"`{c}`" for c in keep], f"{own}.*")
