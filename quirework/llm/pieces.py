@@ -35,24 +35,18 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
 class Memo(dict):
-    """Key -> value, computed when first asked for, in two generations of at most ``limit`` bytes each.
-
-    A full generation becomes the older one; what is asked for again moves on to the newer.
-    """
+    """Key -> value, computed when first asked for; emptied when it holds about ``limit`` bytes."""
 
     def __init__(self, make, size, limit: int):
         self.make, self.size, self.limit = make, size, limit
-        self.old: dict = {}
         self.held = 0
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.make(key)
         if (size := self.size(key, value)):
             if self.held + size > self.limit:
-                self.old, self.held = dict(self), 0
                 self.clear()
+                self.held = 0
             self.held += size
             self[key] = value
         return value
@@ -61,7 +55,7 @@ class Memo(dict):
 class PieceCodec:
     """Encoder and decoder for one model file; ``limit`` bounds the bytes of each table of what is already known."""
 
-    def __init__(self, model_file: str, limit: int = 48 << 20):
+    def __init__(self, model_file: str, limit: int = 72 << 20):
         import ahocorasick
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -83,12 +77,12 @@ class PieceCodec:
         self.ids = {piece: i for piece, (_, i) in self.rank.items()}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.auto = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.auto.add_word(piece, (len(piece), piece))
+        for piece in self.ids:  # a piece that is not its own merge result is in no result
+            if len(piece) == 1 or self.merge(piece) == [piece]:
+                self.auto.add_word(piece, (len(piece) - 1, piece))
         self.auto.make_automaton()
-        self.compatible = Memo(lambda ab: self.merge(ab[0] + ab[1]) == list(ab), lambda ab, _: 300, limit // 4)
-        self.own: dict[str, bool] = {}  # one entry a piece at most
-        self.parts = Memo(self._joined, lambda p, x: 200 + 2 * len(p) + len(x) if len(p) <= 64 else 0, limit)
+        self.compatible = Memo(lambda ab: self.merge(ab[0] + ab[1]) == list(ab), lambda ab, _: 120, limit // 3)
+        self.parts = Memo(self._joined, lambda p, x: 110 + 2 * len(p) + len(x) if len(p) <= 64 else 0, limit)
         self.cut = re.compile(self._cut_pattern())
         self.token_text = [str(i) for i in range(len(self.pieces))]
         self.token_bytes = [
@@ -96,6 +90,8 @@ class PieceCodec:
             for p, t in zip(self.pieces, self.types, strict=True)
         ]
 
+        self.bytes_of = dict(zip(self.token_text, self.token_bytes, strict=True))
+
     # -- cutting a text into parts that no piece spans
 
     def _cut_pattern(self) -> str:
@@ -135,45 +131,43 @@ class PieceCodec:
             offer(i, nxt[i])
         return [s for s in sym if s is not None]
 
-    def whole(self, piece: str) -> bool:
-        known = self.own.get(piece)
-        if known is None:
-            known = self.own[piece] = self.merge(piece) == [piece]
-        return known
-
     # -- backtracking
 
     def split(self, text: str) -> list[str]:
         """Pieces of one part; a character in no piece stands for itself."""
         n = len(text)
         at: list[list[str]] = [[] for _ in range(n)]
-        for end, (size, piece) in self.auto.iter(text):
-            if size == 1 or self.whole(piece):
-                at[end - size + 1].append(piece)  # by growing end: the longest is last
+        for end, (back, piece) in self.auto.iter(text):
+            at[end - back].append(piece)  # by growing end: the longest is last
+        compatible = self.compatible
         out: list[str] = []
         tries: list[int] = []
         failed = 0  # bit p: no sequence goes on from position p
-        pos, choice, before = 0, None, None
+        pos, k, before = 0, -1, None  # k: where to go on in the matches at this position, -1: at the longest
         while pos < n:
             found = at[pos] or [text[pos]]
-            k = len(found) - 1 if choice is None else choice
+            if k < 0:
+                k = len(found) - 1
             while k >= 0:
                 piece = found[k]
-                if not failed >> (pos + len(piece)) & 1 and (before is None or self.compatible[before, piece]):
+                if (before is None or compatible[before, piece]) and not (failed and failed >> (pos + len(piece)) & 1):
                     break
                 k -= 1
             if k >= 0:
                 out.append(piece)
                 tries.append(k)
                 pos += len(piece)
-                before, choice = piece, None
-            else:
+                before, k = piece, -1
+                continue
+            while True:  # no match goes on from here: step back to a position with a shorter match
                 failed |= 1 << pos
                 if not out:
                     raise ValueError(f"no sequence of pieces for {text!r}")
                 pos -= len(out.pop())
-                choice = tries.pop() - 1
+                k = tries.pop() - 1
                 before = out[-1] if out else None
+                if k >= 0:
+                    break
         return out
 
     def part_ids(self, part: str) -> list[int]:
@@ -200,6 +194,17 @@ class PieceCodec:
         joined, _ = self.encode_joined(text)
         return [int(x) for x in joined.split(",")] if joined else []
 
+    def decode_joined(self, joined: str) -> str:
+        """What :func:`decode` gives for ids that :func:`encode_joined` wrote; no integers are made."""
+        if not joined:
+            return ""
+        parts = joined.split(",")
+        try:
+            text = b"".join(map(self.bytes_of.__getitem__, parts)).decode()
+        except UnicodeDecodeError:
+            return self.decode([int(x) for x in parts])
+        return text[1:] if self.pieces[int(parts[0])].startswith(SPACE) else text
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces joined, bytes gathered, the dummy prefix taken off."""
         if not ids:
@@ -216,7 +221,7 @@ class PieceCodec:
 _codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec(model_file: str, limit: int = 48 << 20) -> PieceCodec:
+def codec(model_file: str, limit: int = 72 << 20) -> PieceCodec:
     """One codec for each worker process, kept between batches and tasks."""
     key = (model_file, limit)
     if key not in _codecs:
@@ -268,10 +273,10 @@ def encode_checked(docs: DataFrame, keep: list[str], model: str = "piece_bpe_32k
         ids, n, back = [], [], []
         for t in texts:  # one text as Python objects at a time
             t = t.as_py() or ""
-            x = c.encode(t)
-            n.append(len(x))
-            back.append(c.decode(x) == t)
-            ids.append(np.array(x, np.int32))
+            joined, k = c.encode_joined(t)
+            n.append(k)
+            back.append(c.decode_joined(joined) == t)
+            ids.append(np.array(joined.split(",") if k else [], np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
         return pa.StructArray.from_arrays([lists, pa.array(n, pa.int64()), pa.array(back, pa.bool_())], names=["ids", "n_tokens", "round_trip"])
 
@@ -292,7 +297,7 @@ def digests(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
                 joined, k = c.encode_joined(t)
                 n.append(k)
                 a.append(sha(joined.encode()).hexdigest())
-                d.append(sha(c.decode([int(x) for x in joined.split(",")] if joined else []).encode()).hexdigest())
+                d.append(sha(c.decode_joined(joined).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
