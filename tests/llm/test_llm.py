@@ -115,7 +115,7 @@ def test_pieces_equal_the_library(docs):
     texts += ["", " ", "a" * 300, " " * 50, "<s></s><unk><0x0A>", LONG[:5000], "thethethe" * 40]
     for t in texts:
         ids = c.encode(t)
-        assert ids == sp.encode(t) and c.decode(ids) == sp.decode(ids)
+        assert ids == sp.encode(t) and c.decode(ids) == sp.decode(ids) == c.decode_joined(c.encode_joined(t)[0])
     assert c.encode(None) == [] and c.decode([]) == ""
     for ids in ([3, 200, 5], [0, 1, 2, 300], [259, 259]):
         assert c.decode(ids) == sp.decode(ids)
