@@ -22,7 +22,8 @@ def round_exact(x: Column, places: int) -> Column:
     """``x`` to so many places, half to even, as its binary value stands: 2.675 is below the half and gives 2.67.
 
     Spark's own rounding takes the shortest decimal form for the value.  The product with 10 ** places is
-    made exact as a sum of two doubles (Dekker's splitting), and the half is looked for in both.
+    made exact as a sum of two doubles (Dekker's splitting), and the half is looked for in both.  What rounds to
+    zero keeps its sign, as it does in printed form.
     """
     by = float(10**places)
     c = x * F.lit(134217729.0)
@@ -32,7 +33,7 @@ def round_exact(x: Column, places: int) -> Column:
     low = F.floor(p).cast("double")
     over = (p - low - 0.5) + rest
     up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) == 1.0))
-    return (low + F.when(up, 1.0).otherwise(0.0)) / by
+    return F.abs((low + F.when(up, 1.0).otherwise(0.0)) / by) * F.signum(x)
 
 
 def interval_days(streak: Column, verdict: Column, confidence: Column) -> Column:
