@@ -325,5 +325,6 @@ def answered_questions(spark, d):
     """Every question through retrieval, scoring, the gates and a stand-in generator."""
     q = src.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = src.table(spark, d, "documents").select("doc_id", F.col("source").alias("citation"), "text")
-    hits = docs.join(_reranked(spark, d, Search().final_k).select("query_id", "doc_id", "rank", "rerank_score", F.col("first_score").alias("bm25_score")), "doc_id")
+    best = _reranked(spark, d, Search().final_k).select("query_id", "doc_id", "rank", "rerank_score", F.col("first_score").alias("bm25_score"))
+    hits = docs.join(shared.saved(best, "reranked"), "doc_id")
     return answering.answer(answering.assembled(q, hits), answering.extractive, Gates(score=0.5))
