@@ -139,7 +139,11 @@ def learner_id(x) -> Column:
 
 def dehyphenated(lines: Column) -> Column:
     """Lines joined by spaces; a line that ends in a single hyphen is glued to a next one in lower case."""
-    return F.aggregate(lines, F.lit(""), lambda a, l: F.when(a == "", l).when(a.rlike(r"(^|[^-])-$") & l.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(a, "-$", ""), l)).otherwise(F.concat(a, F.lit(" "), l)))
+    # empty lines at the head give nothing; each line then ends by what the next one is, so no text is gone over twice
+    first = F.array_position(F.transform(lines, lambda l: l != ""), True).cast("int")
+    own = F.slice(lines, F.when(first > 0, first).otherwise(F.size(lines) + 1), F.size(lines))
+    ended = F.zip_with(own, F.slice(own, F.lit(2), F.size(own)), lambda l, n: F.when(n.isNull(), l).when(l.rlike(r"(^|[^-])-$") & n.rlike(r"^\p{Ll}"), F.regexp_replace(l, "-$", "")).otherwise(F.concat(l, F.lit(" "))))
+    return F.when(~F.exists(lines, lambda l: l.isNull()), F.array_join(ended, ""))
 
 
 def windows(text, size: int = 1000, step: int = 800, single: int = 1150) -> Column:
