@@ -155,10 +155,11 @@ IMPERATIVE = r"(?i)^\s*(describe|explain|list|name|identify|state|define|compare
 def shape_flags(question: Column, points: Column) -> Column:
     q = F.coalesce(question, F.lit(""))
     imperative = q.rlike(IMPERATIVE)
-    leaked = F.exists(points, lambda p: tx.overlap(tx.content_tokens(q), tx.content_tokens(p)) >= 0.60)
-    thin = F.exists(points, lambda p: F.size(tx.content_tokens(p)) < 2)
-    shape = (F.length(F.trim(q)) < 25) | (~q.contains("?") & ~imperative) | (F.size(points) == 0) | thin
-    return F.array_compact(F.array(F.when(shape, F.lit("SHAPE")), F.when(leaked, F.lit("ANSWER_LEAKED"))))
+    once = lambda x, use: F.transform(F.array(x), use)[0]  # noqa: E731  every text is cut into tokens once
+    each = lambda asked, own: F.struct((tx.overlap(asked, own) >= 0.60).alias("leaked"), (F.size(own) < 2).alias("thin"))
+    judged = once(tx.content_tokens(q), lambda asked: F.transform(points, lambda p: once(tx.content_tokens(p), lambda own: each(asked, own))))
+    shape = lambda js: (F.length(F.trim(q)) < 25) | (~q.contains("?") & ~imperative) | (F.size(points) == 0) | F.exists(js, lambda j: j["thin"])
+    return once(judged, lambda js: F.array_compact(F.array(F.when(shape(js), F.lit("SHAPE")), F.when(F.exists(js, lambda j: j["leaked"]), F.lit("ANSWER_LEAKED")))))
 
 
 def _found(points: Column, claims: Column) -> Column:
